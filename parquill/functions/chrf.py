@@ -11,6 +11,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parquill.functions.text import dense
 
@@ -18,7 +19,7 @@ from parquill.functions.text import dense
 ORDERS = 6
 BETA = 2.0
 SCALE = 100.0
-COUNTS = "m array<bigint>, h array<bigint>, r array<bigint>"
+COUNTS = T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in "mhr"])
 
 
 def bags(text: str) -> list[Counter[str]]:

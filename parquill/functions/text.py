@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The 29 characters of white space of Python's str methods, as a Java character class.
 SPACE = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -18,12 +19,12 @@ SPACE = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"
 UNIT = "\x1f"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else x.casefold())
 

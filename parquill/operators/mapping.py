@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parquill.functions import chunker
 
-RESULT = "struct<text:string,ok:boolean,error:string>"
+RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType())])
 MAX_FAILURES = 3
 
 

@@ -45,7 +45,7 @@ def prep_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, sf_dir: str, allow: bool) -> DataFrame:
-    return dedupe.mark_duplicates(_documents_as_pairs(spark, sf_dir), ["doc_id"], allow_conflicts=allow).select("doc_id", "status", F.col("of.doc_id").alias("of_doc"))
+    return dedupe.mark_duplicates(_documents_as_pairs(spark, sf_dir), ["doc_id"], allow_conflicts=allow).select("doc_id", "status", F.coalesce("of.doc_id", "doc_id").alias("of_doc"))
 
 
 def prep_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,9 +303,9 @@ _CONTAINS = f"""
 ORACLE_SQL: dict[str, str] = {
     "prep_pairs": f"with {_PAIRS} select conv_id, turn, {_KEY.format('source')} as source_key, {_KEY.format('target')} as target_key, round({_RATIO}, 6) as ratio from pairs",
     "prep_dedupe": f"""with {_DOC_PAIRS} select doc_id, case when rn > 1 then 'duplicate' when tk <> ft then 'conflict' else 'keep' end as status,
-        case when rn > 1 then same when tk <> ft then clash end as of_doc from marked""",
+        case when rn > 1 then same when tk <> ft then clash else doc_id end as of_doc from marked""",
     "prep_conflicts": f"""with {_DOC_PAIRS} select doc_id, case when tk <> ft then 'problem' when rn > 1 then 'duplicate' else 'keep' end as status,
-        case when tk <> ft then clash when rn > 1 then same end as of_doc from marked""",
+        case when tk <> ft then clash when rn > 1 then same else doc_id end as of_doc from marked""",
     "prep_conflicted_sources": f"with {_DOC_PAIRS} select sk as source_key, count(*) as n_pairs, count(distinct tk) as n_targets from pairs group by sk having count(distinct tk) > 1",
     "prep_split_rows": f"with {_SPLIT} select k.doc_id, a.split from kept k join assigned a on k.sk = a.sk",
     "prep_split_counts": f"with {_SPLIT} select a.split, count(*) as n_rows, count(distinct k.sk) as n_sources from kept k join assigned a on k.sk = a.sk group by a.split",
