@@ -228,8 +228,8 @@ def link_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     classes = alive.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.first("keys").alias("keys"), F.count("*").alias("members"))
     classes = checkpoint(classes)
 
-    stars = classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id")).repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, T.StructType([T.StructField(c, T.LongType()) for c in "ab"])).distinct()
-    groups = checkpoint(components(stars))
+    stars = classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id")).repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, T.StructType([T.StructField(c, T.LongType()) for c in "ab"]))
+    groups = checkpoint(components(_fewer(stars)))
     links = _resolve(texts, groups, width, percent)
 
     # Every class by itself, its copies, and the links between classes.
@@ -262,6 +262,16 @@ def _stars(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(heads[some]), pa.array(ids[some])], names=["a", "b"])
 
 
+def _fewer(stars: DataFrame) -> DataFrame:
+    """Edges that connect the same: each member with its smallest head, and its other heads with that one.
+
+    A member has one head a band at most; members of one group have the same heads, so few edges are left.
+    """
+    heads = stars.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("heads"))
+    ends = F.concat(F.array("b"), F.slice("heads", 2, F.size("heads")))
+    return heads.select(F.get("heads", F.lit(0)).alias("a"), F.explode(ends).alias("b")).distinct()
+
+
 def _resolve(texts: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that connect the classes of each group as all its links would."""
     spark = texts.sparkSession

@@ -95,13 +95,14 @@ def mix_sources(docs: DataFrame, *, shares: Mapping[str, int] | None = None, alp
     ``shares`` has each source's whole share; sources that it lacks, and all when None, get shares by
     ``shares_by_count(alpha)``. Added columns: ``mix_phase``, ``mix_block`` (the source's block number),
     ``mix_slot`` (the block's slot, gapless from 0 over all blocks) and ``mix_row`` (the row's number in
-    its block); columns of these names in ``docs`` are replaced. No row is left out or repeated.
+    its block); columns of these names in ``docs`` are
+    replaced, and names with ``_mix_`` before are for the operator's use. No row is left out or repeated.
 
     A null source is the source ''. Rows of one source are ordered by a hash of the id, then the id;
     null ids come first, and rows that repeat an id take places next to each other in any order. An
     empty table gives an empty result. Only counts by source and bucket of rows meet in small tasks.
     """
-    source, bucket, rank, before, number = (f"_{prefix}{x}" for x in ("source", "bucket", "rank", "before", "number"))
+    source, bucket, rank, before, number, key, phased = (f"_{prefix}{x}" for x in ("source", "bucket", "rank", "before", "number", "key", "phases"))
     added = [f"{prefix}{x}" for x in ("phase", "block", "slot", "row")]
     base = docs.drop(*added).withColumn(source, F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     counts = {r[0]: r[1] for r in base.groupBy(source).count().limit(MAX_SOURCES + 1).collect()}
@@ -128,12 +129,12 @@ def mix_sources(docs: DataFrame, *, shares: Mapping[str, int] | None = None, alp
         for k, ph in enumerate(plan)
         for s in ph["at"]
     ]
-    own = _literal(spark, rows).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "phase", "base", "size", "own", "spots"))).alias("plan"))
+    own = _literal(spark, rows).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "phase", "base", "size", "own", "spots"))).alias(phased)).withColumnRenamed("s", key)
     if sum(ph["size"] for ph in plan) <= BROADCAST_SLOTS:
         own = F.broadcast(own)
-    joined = placed.join(own, placed[source] == own["s"])
+    joined = placed.join(own, F.col(source) == F.col(key))
     entry, block = f"_{prefix}entry", f"`{added[1]}`"
-    joined = joined.withColumn(entry, F.expr(f"filter(plan, x -> x.lo <= {block} and {block} < x.hi)[0]"))
+    joined = joined.withColumn(entry, F.expr(f"filter(`{phased}`, x -> x.lo <= {block} and {block} < x.hi)[0]"))
     slot = F.expr(f"`{entry}`.base + (({block} - `{entry}`.lo) div `{entry}`.own) * `{entry}`.size + `{entry}`.spots[cast(({block} - `{entry}`.lo) % `{entry}`.own as int)]")
     keep = [F.col(f"`{c}`") for c in base.columns if c != source]
     return joined.select(*keep, F.col(f"{entry}.phase").alias(added[0]), F.col(added[1]), slot.alias(added[2]), F.expr(f"`{number}` % {block_rows}").alias(added[3]))
