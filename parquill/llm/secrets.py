@@ -3,7 +3,7 @@
 The field tags words as begin, inside or outside of a secret, from the word's shape, the neighbouring
 words and features of the whole text, and is decoded by Viterbi. It is trained on a bounded sample
 whose silver labels are the base patterns' matches, with the naming word hidden in half of the cases so
-that shape and context alone must do.
+that shape and context alone must do; what is not plain but matches no pattern is shown as well.
 """
 
 from __future__ import annotations
@@ -30,11 +30,17 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "crf")
 _NAMES = re.compile(r"pass(?:word|wd)|secret|token|api_?key", re.I | re.A)
-_LONG_HEX = re.compile(r"[0-9a-f]{32}")
+_LEAD = re.compile(rf"^.*(?:{_NAMES.pattern})[\"']?[:=]?[\"']?", re.I | re.A)
+#: Words whose neighbourhood tells: all others are alike to their neighbours but for their shape.
+NAMING = frozenset("password passwd pwd pass secret token key apikey api_key auth credential credentials login bearer access private id user".split())
 #: Texts whose windows train the field at most, words of a window, and hashed features.
-SAMPLE_ROWS, WINDOW, FEATURES = 6_000, 24, 1 << 12
+SAMPLE_ROWS, WINDOW, FEATURES = 12_000, 24, 1 << 12
+#: Features of one word: 9 of its own, 2 of the text, 2 of each neighbour.
+MOST_FEATURES = 15
 O, B, I = 0, 1, 2  # noqa: E741
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Kinds of words with scores of their own that a task holds.
+MOST_KINDS = 50_000
 _EDGE = "\"'`,;:()[]{}<>.!?"
 
 
@@ -42,8 +48,6 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the base patterns' matches, in code points."""
     out = []
     for kind, (pattern, group, least) in PATTERNS.items():
-        if kind == "assign" and not _NAMES.search(text) or kind == "access" and "AKIA" not in text or kind == "hex" and not _LONG_HEX.search(text):
-            continue
         out += [(m.start(), kind, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
@@ -54,19 +58,31 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", kinds)[:12]
 
 
+def _signs(word: str) -> str:
+    return f"q{'=' in word}{':' in word}"
+
+
 def _own(word: str) -> list[str]:
+    """Features of a word by itself. Plain words have few, so they share their scores."""
     core = word.strip(_EDGE)
     n = len(core)
+    if core.isalpha():
+        case = "l" if core.islower() else "t" if core[1:].islower() else "u" if core.isupper() else "m"
+        return [f"an{min(n, 48) // 4}", f"ac{case}", f"aw{core.lower() if core.lower() in NAMING else ''}", _signs(word)]
     counts = Counter(core)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0
     digits, upper, lower = (sum(map(f, core)) for f in (str.isdigit, str.isupper, str.islower))
     mixed = f"{upper > 0:d}{lower > 0:d}{digits > 0:d}"
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:], strict=False))
-    return [f"n{min(n, 48) // 4}", f"e{int(entropy * 2)}", f"d{digits * 8 // n if n else 0}", f"m{mixed}", f"x{min(switches, 24) // 3}", f"s{shape(word)}", f"=n{n >= 8}{n >= 16}{n >= 32}{mixed}", f"q{'=' in word}{':' in word}"]
+    return [f"n{min(n, 48) // 4}", f"e{int(entropy * 2)}", f"d{digits * 8 // n if n else 0}", f"m{mixed}", f"x{min(switches, 24) // 3}", f"s{shape(word)}", f"=n{n >= 8}{n >= 16}{n >= 32}{mixed}", f"@{'@' in core}{core.count('.')}", _signs(word)]
 
 
 def _near(word: str) -> list[str]:
-    return [f"w{word.strip(_EDGE).lower()[:12]}", f"h{shape(word)}"]
+    """Features of a word for its neighbours."""
+    core = word.strip(_EDGE).lower()
+    if core.isalpha() or core in NAMING:
+        return [f"w{core if core in NAMING else ''}", _signs(word)]
+    return [f"h{shape(word)}", _signs(word)]
 
 
 def _hash(names: list[str], place: str) -> np.ndarray:
@@ -166,31 +182,53 @@ class Scanner:
 
     def __init__(self, field: Field) -> None:
         self.field = field
+        self.rows: list[np.ndarray] = []  # scores of kinds of words: own, for the next word, for the one before
+        self.kinds: dict[tuple, int] = {}
+        self.table = np.zeros((0, 9))
+        self.words = Cache(self._kind)
         w = field.weights
-
-        def score(word: bytes) -> tuple[int, np.ndarray]:
-            text = word.decode("utf-8", "replace")
-            own = w[_hash(_own(text), "o")].sum(0)
-            left, right = w[_hash(_near(text), "p")].sum(0), w[_hash(_near(text), "n")].sum(0)
-            return int(not text.strip(_EDGE).isalpha()), np.concatenate([own, left, right])
-
-        self.scored = Cache(score, 200_000)
         self.files = Cache(lambda key: w[_hash(file_feature(*key), "f")].sum(0), 1_000)
 
-    def field_spans(self, data: bytes, text: str) -> list[tuple[int, int]]:
+    def _kind(self, word: bytes) -> int:
+        """The number of the word's kind, and two flags: a base pattern may start in it; its core is no plain word."""
+        text = word.decode("utf-8", "replace")
+        own, near = _own(text), _near(text)
+        key = (*own, *near)
+        at = self.kinds.get(key)
+        if at is None:
+            if len(self.kinds) >= MOST_KINDS:
+                self.kinds.clear()
+            at = self.kinds[key] = len(self.rows)
+            w = self.field.weights
+            self.rows.append(np.concatenate([w[_hash(own, "o")].sum(0), w[_hash(near, "p")].sum(0), w[_hash(near, "n")].sum(0)]))
+        base = bool(_NAMES.search(text)) or "AKIA" in text or len(word) >= 32
+        return at << 2 | base << 1 | (not text.strip(_EDGE).isalpha())
+
+    def spans(self, data: bytes) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
+        """Base spans, and all of them with the field's that touch none, by start."""
         words = data.split()
         if not words:
-            return []
-        known = list(map(self.scored.__getitem__, words))
-        rows = np.array([k[1] for k in known])
-        codes = sum(k[0] for k in known)
+            return [], []
         n = len(words)
-        score = rows[:, :3] + self.files[n, codes]
+        known = np.fromiter(map(self.words.__getitem__, words), np.int64, n)
+        if len(self.table) < len(self.rows):
+            self.table = np.array(self.rows)
+        rows = self.table[known >> 2]
+        score = rows[:, :3] + self.files[n, int((known & 1).sum())]
         score[1:] += rows[:-1, 3:6]
         score[:-1] += rows[1:, 6:]
         tags = self.field.tags(score)
-        if not tags.any():
-            return []
+        may = bool((known & 2).any())
+        if not may and not tags.any():
+            return [], []
+        text = data.decode("utf-8", "replace")
+        base = base_spans(text) if may else []
+        more = [(a, "crf", b) for a, b in self._tagged(text, tags) if not any(a < e and s < b for s, _, e in base)] if tags.any() else []
+        return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))
+
+    @staticmethod
+    def _tagged(text: str, tags: np.ndarray) -> list[tuple[int, int]]:
+        """Spans of tagged words, without signs at their ends."""
         out: list[tuple[int, int]] = []
         for tag, m in zip(tags, _WORD.finditer(text), strict=True):
             if tag == O:
@@ -204,16 +242,9 @@ class Scanner:
                 out.append((start, end))
         return out
 
-    def spans(self, data: bytes) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
-        """Base spans, and all of them with the field's that touch none, by start."""
-        text = data.decode("utf-8", "replace")
-        base = base_spans(text)
-        more = [(a, "crf", b) for a, b in self.field_spans(data, text) if not any(a < e and s < b for s, _, e in base)]
-        return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[1])))
-
 
 def windows(data: bytes, number: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training windows of a text: around each base match, and one elsewhere. (features, tags) by word."""
+    """Training windows of a text: around base matches, around two other words that are not plain, and for one text in four anywhere. (features, tags) by word."""
     text = data.decode("utf-8", "replace")
     found = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     if not found:
@@ -229,42 +260,51 @@ def windows(data: bytes, number: int) -> list[tuple[np.ndarray, np.ndarray]]:
         tags[first] = tags[first] or B
         tags[first + 1 : last + 1] = I
         middles.append(first)
-    middles = middles[:8] + [xxhash.xxh3_64_intdigest(data, number) % len(found)]
-    codes = sum(not w.strip(_EDGE).isalpha() for _, _, w in found)
+    odd = [i for i, (_, _, w) in enumerate(found) if not w.strip(_EDGE).isalpha()]
+    codes, draw = len(odd), xxhash.xxh3_64_intdigest(data, number & 0xFFFFFFFF)
+    # What is not plain and follows a naming word may be a secret that no pattern has: windows with it teach nothing.
+    doubt = [i for i in odd if tags[i] == O and any(w.strip(_EDGE).lower() in NAMING for _, _, w in found[max(0, i - 2) : i])]
+    others = [i for i in odd if tags[i] == O and i not in doubt]
+    middles = middles[:6] + [others[(draw >> k) % len(others)] for k in (8, 24) if others] + [draw % len(found)] * (draw >> 60 < 4)
     whole = _hash(file_feature(len(found), codes), "f")
     out = []
     for k, middle in enumerate(middles):
         a = max(0, middle - WINDOW // 2)
+        if any(a <= i < a + WINDOW for i in doubt):
+            continue
         some = [w for _, _, w in found[a : a + WINDOW]]
         hide = (number + k) % 2 == 0
-        some = [_NAMES.sub("x", w) if hide else w for w in some]
-        rows = [np.concatenate([_hash(_own(w), "o"), whole, _hash(_near(some[i - 1]), "p") if i else [-1, -1], _hash(_near(some[i + 1]), "n") if i + 1 < len(some) else [-1, -1]]).astype(np.int64) for i, w in enumerate(some)]
-        out.append((np.array(rows), tags[a : a + WINDOW].copy()))
+        some = [(_LEAD.sub("", w) or "x") if hide else w for w in some]
+        rows = np.full((len(some), MOST_FEATURES), -1, np.int64)
+        for i, w in enumerate(some):
+            left = _hash(_near(some[i - 1]), "p") if i else whole[:0]
+            right = _hash(_near(some[i + 1]), "n") if i + 1 < len(some) else whole[:0]
+            of = np.concatenate([_hash(_own(w), "o"), whole, left, right])
+            rows[i, : len(of)] = of
+        out.append((rows, tags[a : a + WINDOW].copy()))
     return out
 
 
 def fit_field(docs: DataFrame, id_col: str, text_col: str, rows: int) -> Field:
-    """Trains on at most ``rows`` texts, taken by a hash of the id; a third of them, where there are so many, with matches."""
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).rlike(r"(?i)(pass(word|wd)|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}").alias("hit")).filter("id is not null").dropDuplicates(["id"])
-    order = [F.xxhash64("id"), F.col("id")]
-    few = ids.filter("hit").orderBy(*order).limit(rows // 2).union(ids.filter("not hit").orderBy(*order).limit(rows // 2)).select(F.col("id").alias("_field_id"))
-    kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("features", T.ArrayType(T.LongType())), T.StructField("tags", T.ArrayType(T.LongType()))])
+    """Trains on at most ``rows`` texts, taken by a hash of the id."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
+    few = ids.orderBy(F.xxhash64("id"), "id").limit(rows).select(F.col("id").alias("_field_id"))
+    kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("features", T.ArrayType(T.LongType())), T.StructField("tags", T.ArrayType(T.LongType()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(doc, w) for doc, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True) for w in windows(text, doc)]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([d for d, _ in out], pa.int64()), "width": pa.array([w[0].shape[1] for _, w in out], pa.int32()), "features": pa.array([w[0].ravel() for _, w in out], pa.list_(pa.int64())), "tags": pa.array([w[1] for _, w in out], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"id": pa.array([d for d, _ in out], pa.int64()), "features": pa.array([w[0].ravel() for _, w in out], pa.list_(pa.int64())), "tags": pa.array([w[1] for _, w in out], pa.list_(pa.int64()))})
 
     used = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     got = used.join(F.broadcast(few), used["id"] == few["_field_id"]).select("id", "text").mapInArrow(cut, kind).toArrow()  # rows texts' windows, 9 each at most
     order = np.argsort(got["id"].to_numpy(), kind="stable")[: 2 * rows]
-    all_features, all_tags, widths = got["features"].combine_chunks(), got["tags"].combine_chunks(), got["width"].to_pylist()
-    width = max(widths, default=1)
-    x, y = np.full((len(order), WINDOW, width), -1, np.int64), np.full((len(order), WINDOW), -1, np.int64)
+    all_features, all_tags = got["features"].combine_chunks(), got["tags"].combine_chunks()
+    x, y = np.full((len(order), WINDOW, MOST_FEATURES), -1, np.int64), np.full((len(order), WINDOW), -1, np.int64)
     for i, j in enumerate(order):
         t = all_tags[int(j)].values.to_numpy()
         y[i, : len(t)] = t
-        x[i, : len(t)] = all_features[int(j)].values.to_numpy().reshape(len(t), width)
+        x[i, : len(t)] = all_features[int(j)].values.to_numpy().reshape(len(t), MOST_FEATURES)
     return Field.fit(x, y)
 
 
