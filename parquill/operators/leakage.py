@@ -60,11 +60,12 @@ def containments(docs: DataFrame, benchmark: DataFrame, *, ident: str = "doc_id"
         raise ValueError(f"more than {BROADCAST_ROWS} items of under {anchor_words + 2} words")
     few = benchmark.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     canon = docs.select(F.col(ident).alias("doc_id"), canonical(F.col(text)).alias("doc_text"))
-    windows = canon.withColumn("w", F.split("doc_text", " ")).filter(F.size("w") >= anchor_words).select(
-        "doc_id", "doc_text", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, size(w) - {anchor_words - 1}), i -> array_join(slice(w, i, {anchor_words}), ' '))"))).alias("anchor")
-    )
+    # Only ids travel with the windows; texts come back for the few documents that hold an anchor.
+    cut = canon.select("doc_id", F.split("doc_text", " ").alias("w")).filter(F.size("w") >= anchor_words)
+    windows = cut.select("doc_id", F.explode(F.expr(f"array_distinct(transform(sequence(1, size(w) - {anchor_words - 1}), i -> array_join(slice(w, i, {anchor_words}), ' ')))")).alias("anchor"))
     side = F.broadcast(long_items) if few else long_items
-    hits = windows.join(side, "anchor").filter(F.contains("doc_text", "item_text")).select("item_id", "doc_id").distinct()
+    met = windows.join(side, "anchor").select("item_id", "item_text", F.col("doc_id").alias("_met")).distinct()
+    hits = canon.join(met, F.col("doc_id") == F.col("_met")).filter(F.contains("doc_text", "item_text")).select("item_id", "doc_id").distinct()
     if not short:
         return hits
     listed = F.from_json(F.lit(json.dumps([r.asDict() for r in short])), f"array<{items.schema.simpleString()}>")
