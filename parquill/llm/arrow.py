@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -38,27 +40,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Cache(dict):
-    """A dictionary that computes what it lacks; emptied when full, so memory stays bounded."""
+    """A dictionary that computes what it lacks. When full it starts anew, but what was in it is taken over as it is used again, so memory stays bounded and frequent keys stay."""
 
-    def __init__(self, make: Callable[[bytes], object], most: int = 400_000) -> None:
+    def __init__(self, make: Callable[[bytes], object], most: int = 300_000) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: bytes) -> object:
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
 
 
-def batches(rows: Iterator[dict], schema: pa.Schema, most: int = 2_000) -> Iterator[pa.RecordBatch]:
-    """Rows gathered into record batches."""
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= most:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+def shared(name: str, build: Callable[[], object]) -> object:
+    """What ``build`` made the first time in this Python worker; functions are shipped by value, so modules keep nothing."""
+    home = sys.modules.setdefault("_parquill_worker", types.ModuleType("_parquill_worker"))
+    if not hasattr(home, name):
+        setattr(home, name, build())
+    return getattr(home, name)
+

@@ -14,46 +14,58 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import BLANK, Cache, raw
+from parquill.llm.arrow import BLANK, Cache, raw, shared
+from parquill.runtime import checkpoint
 
 #: Character classes.
 CLASSES = ("lower", "upper", "digit", "stop", "bracket", "symbol", "other")
 #: Common words of a language, and languages with references of their own; rarer ones share one.
 COMMON_WORDS, LANGUAGES = 50, 200
-#: Distances (0 to 1) from which a text fails, and the words from which each counts.
-MAX_CLASS_DISTANCE, CLASS_WORDS = 0.20, 50
-MAX_WORD_DISTANCE, WORD_WORDS = 0.45, 80
+#: Distances (0 to 1) from which a long text fails, and the words from which distances count.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, GUARD_WORDS = 0.19, 0.35, 50
+#: Squared class distance that one number, address or key may make up in a text, times its words.
+ODD_WORDS = 2.2
 #: Base rules: fewest words, and the share of words in repeated windows, in hundredths.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 _EDGE = ".,;:!?\"'()[]{}"
-#: Partial counts of a task are handed on at so many words.
-HELD = 200_000
+#: A common word is more than one in so many; words of a part in which such words are named; candidates at most.
+COMMON_SHARE, PART_WORDS, CANDIDATES = 1_000, 2_000_000, 20_000
 
 
-def classes(word: bytes) -> np.ndarray:
-    """Histogram of a word's characters over ``CLASSES``."""
-    out = np.zeros(len(CLASSES), np.int64)
+def classes(word: bytes) -> int:
+    """Histogram of a word's characters over ``CLASSES``, a byte each; for words under 256 bytes."""
+    if word.isalpha() and (word.islower() or word[1:].islower()):  # ASCII letters, at most the first one upper
+        upper = int(not word.islower())
+        return len(word) - upper + (upper << 8)
+    out = 0
     for c in word.decode("utf-8", "replace"):
         if c.isalpha():
-            out[1 if c.isupper() else 0] += 1
+            k = 1 if c.isupper() else 0
         elif c.isdigit():
-            out[2] += 1
+            k = 2
         elif c in ".,;:!?'\"-":
-            out[3] += 1
+            k = 3
         elif c in "()[]{}/":
-            out[4] += 1
-        elif unicodedata.category(c)[0] in "SP":
-            out[5] += 1
+            k = 4
         else:
-            out[6] += 1
+            k = 5 if unicodedata.category(c)[0] in "SP" else 6
+        out += 1 << 8 * k
     return out
 
 
+def class_histogram(words: list[bytes], kinds: Cache) -> np.ndarray:
+    """Characters of words by class."""
+    if max(map(len, words), default=0) > 255:
+        words = [w[i : i + 255] for w in words for i in range(0, len(w), 255)]
+    packed = np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
+    return np.array([int((packed >> 8 * k & 255).sum()) for k in range(len(CLASSES))], np.int64)
+
+
 def core(word: bytes) -> str:
     return word.decode("utf-8", "replace").lower().strip(_EDGE)
 
@@ -68,6 +80,15 @@ def divergence(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
 
 
+def limits(n: int, class_distance: float, word_distance: float) -> tuple[float, float]:
+    """Both limits for a text of n words: a long text's, widened by what chance adds.
+
+    The divergence of n draws from their own distribution over k classes is (k - 1) / (8 n ln 2) on average.
+    """
+    n = max(1, n)
+    return float(np.sqrt(class_distance**2 + ODD_WORDS / n)), float(np.sqrt(word_distance**2 + COMMON_WORDS / (8 * n * np.log(2))))
+
+
 def base_counts(text: bytes) -> tuple[int, int, int, int, int, list[bytes]]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text, and its words."""
     words = text.split()
@@ -97,58 +118,76 @@ def repeated(words: list[bytes]) -> int:
 def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
     """By language: class histogram, common words' places, and their histogram with the rest last.
 
-    ``texts`` has ``lang`` and ``text``. '' is the reference of all languages together.
+    ``texts`` has ``lang`` and ``text``. '' is the reference of all languages together. Common words are
+    those ``COMMON_WORDS`` most frequent ones that are more than one word in ``COMMON_SHARE``. Such a word
+    is as frequent in at least one part of any division of the corpus, so tasks first name the words
+    that frequent in their part, and then all documents are counted for those alone.
     """
-    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+    named = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("share", T.DoubleType())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Words by language; classes are the words "\0class". A flush keeps what a task holds small.
-        names, held, histograms = Cache(core), Counter(), {}
-        kinds = Cache(classes)
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        size = 0
 
         def out() -> pa.RecordBatch:
-            for lang, h in histograms.items():
-                for c, v in zip(CLASSES, h, strict=True):
-                    held[lang, "\0" + c] += int(v)
-            histograms.clear()
-            rows = [(a, b, n) for (a, b), n in held.items()]
+            rows = []
+            for lang, words in held.items():
+                total, by_core = words.total(), Counter()
+                for w, n in words.items():
+                    by_core[core(w)] += n
+                rows.append((lang, None, total, 0.0))
+                rows += [(lang, w, n, n / total) for w, n in by_core.items() if w and n * COMMON_SHARE > total]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in ((0, pa.string()), (1, pa.string()), (2, pa.int64()))], names=["lang", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.float64()))], names=named.names)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                words = Counter(text.split())
-                if not words:
-                    continue
-                h = histograms.setdefault(lang, np.zeros(len(CLASSES), np.int64))
-                for w, n in words.items():
-                    h += n * kinds[w]
-                    held[lang, names[w]] += n
-                if len(held) > HELD:
-                    yield out()
+                words = text.split()
+                if words:
+                    held.setdefault(lang, Counter()).update(words)
+                    size += len(words)
+            if size > PART_WORDS:
+                yield out()
+                size = 0
         yield out()
 
-    counted = texts.mapInArrow(count, kind).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    marked = F.col("word").startswith("\0")
-    ranked = counted.filter(F.col("word") != "").withColumn("kind", marked).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= COMMON_WORDS)
-    totals = counted.groupBy("lang").agg(F.sum(F.when(~marked, F.col("n"))).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    all_words = {r["lang"]: r["n"] for r in totals.collect()}
-    found = ranked.join(F.broadcast(totals.select("lang")), "lang").collect()  # LANGUAGES * (COMMON_WORDS + classes) rows at most
+    found = checkpoint(texts.mapInArrow(name, named).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.max("share").alias("share")))
+    all_words = {r["lang"]: r["n"] for r in found.filter("word is null").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    top = found.filter("word is not null").filter(F.col("lang").isin(*all_words)).orderBy(F.desc("share"), "lang", "word").limit(CANDIDATES).collect()
+    asked = {lang: [r["word"] for r in top if r["lang"] == lang] for lang in all_words}
+    union = {w: i for i, w in enumerate(sorted({r["word"] for r in top}))}
+    width = len(union)
+    counted = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, place = shared("classes", lambda: Cache(classes)), Cache(lambda w: union.get(core(w), width))
+        held = {lang: np.zeros(width + 1 + len(CLASSES), np.int64) for lang in all_words}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+                words = text.split()
+                if words and lang in held:
+                    held[lang][: width + 1] += np.bincount(np.fromiter(map(place.__getitem__, words), np.int64, len(words)), minlength=width + 1)
+                    held[lang][width + 1 :] += class_histogram(words, kinds)
+        rows = [(lang, int(i), int(n[i])) for lang, n in held.items() for i in [*(union[w] for w in asked[lang]), *range(width, len(n))]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=counted.names)
+
+    sums: dict[str, dict[int, int]] = {lang: {} for lang in all_words}
+    for r in texts.mapInArrow(count, counted).groupBy("lang", "at").agg(F.sum("n").alias("n")).collect():  # CANDIDATES and some for each language at most
+        sums[r["lang"]][r["at"]] = r["n"]
     out = {}
     for lang, total in all_words.items():
-        rows = sorted((r["rank"], r["word"], r["n"]) for r in found if r["lang"] == lang and not r["kind"])
-        by = {r["word"][1:]: r["n"] for r in found if r["lang"] == lang and r["kind"]}
-        words = {w: i for i, (_, w, _) in enumerate(rows)}
-        counts = [n for _, _, n in rows]
-        out[lang] = (np.array([by.get(c, 0) for c in CLASSES], float), words, np.array([*counts, total - sum(counts)], float))
+        n = sums[lang]
+        best = sorted((-n[union[w]], w) for w in asked[lang] if n[union[w]] * COMMON_SHARE > total)[:COMMON_WORDS]
+        common = [-k for k, _ in best]
+        out[lang] = (np.array([n[width + 1 + i] for i in range(len(CLASSES))], float), {w: i for i, (_, w) in enumerate(best)}, np.array([*common, total - sum(common)], float))
     if out:
         merged = Counter()
         for _, words, counts in list(out.values()):
             for w, i in words.items():
                 merged[w] += counts[i]
-        top = dict(merged.most_common(COMMON_WORDS))
+        first = dict(merged.most_common(COMMON_WORDS))
         whole = sum(c.sum() for _, _, c in out.values())
-        out[""] = (sum(h for h, _, _ in list(out.values())), {w: i for i, w in enumerate(top)}, np.array([*top.values(), whole - sum(top.values())], float))
+        out[""] = (sum(h for h, _, _ in list(out.values())), {w: i for i, w in enumerate(first)}, np.array([*first.values(), whole - sum(first.values())], float))
     return out
 
 
@@ -156,8 +195,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Judges every whole text: base counts, base verdict, both distances, and ``kept``.
 
     ``base_failed``: fewer than ``LEAST_WORDS`` words or over half of them in repeated windows. ``kept``
-    is false if so, or if a distance exceeds its limit and the text has the words from which that
-    distance counts. Texts of a language without reference, or of null language, are compared with the
+    is false if so, or if the text has ``GUARD_WORDS`` words and a distance exceeds ``limits`` for its length. Texts of a language without reference, or of null language, are compared with the
     reference of all languages.
 
     Null and empty texts have no words, so they fail the base rules. Rows that repeat count and are
@@ -169,8 +207,11 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     out = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in longs], T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = Cache(classes)
-        places = {lang: Cache(lambda w, words=words: words.get(core(w), len(words))) for lang, (_, words, _) in known.items()}
+        kinds = shared("classes", lambda: Cache(classes))
+        # A word's place among all languages' common words, and that place's in each language.
+        union = {w: i for i, w in enumerate(sorted({w for _, words, _ in known.values() for w in words}))}
+        of_lang = {lang: np.array([words.get(w, len(words)) for w in union] + [len(words)]) for lang, (_, words, _) in known.items()}
+        place = Cache(lambda w: union.get(core(w), len(union)))
         for batch in batches:
             rows = []
             for lang, text in zip(batch.column(1).to_pylist(), raw(batch.column(2)), strict=True):
@@ -181,11 +222,11 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 if words and known:
                     lang = lang if lang in known else ""
                     reference, _, common = known[lang]
-                    own = np.sum(list(map(kinds.__getitem__, words)), axis=0)
-                    class_distance = divergence(own, reference)
-                    at = np.fromiter(map(places[lang].__getitem__, words), np.int64, n)
+                    class_distance = divergence(class_histogram(words, kinds), reference)
+                    at = of_lang[lang][np.fromiter(map(place.__getitem__, words), np.int64, n)]
                     word_distance = divergence(np.bincount(at, minlength=len(common)).astype(float), common)
-                bad = (n >= CLASS_WORDS and class_distance > max_class_distance) or (n >= WORD_WORDS and word_distance > max_word_distance)
+                most_class, most_word = limits(n, max_class_distance, max_word_distance)
+                bad = n >= GUARD_WORDS and (class_distance > most_class or word_distance > most_word)
                 rows.append((*counts, failed, not failed and not bad, class_distance, word_distance))
             columns = [batch.column(0), *[pa.array([r[i] for r in rows], f.dataType.simpleString().replace("bigint", "int64").replace("boolean", "bool").replace("double", "float64")) for i, f in enumerate(out.fields[1:])]]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
