@@ -9,6 +9,7 @@ is shuffled and neighbours in the input, such as a mixture's order, stay neighbo
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import Cache, raw
+from parquill.llm.arrow import Cache, raw, shared
 
 #: Id after each document.
 END = 2
@@ -28,6 +29,11 @@ WINDOW_TOKENS = 1_000_000
 LEAST_CUT = 8
 
 
+#: Byte-level vocabularies write bytes that are no printable Latin-1 sign as the characters from U+0100 on, in order.
+_ODD = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_BYTES = {byte: 0x100 + i for i, byte in enumerate(_ODD)}
+
+
 class Packer:
     """Packs vectors of (tokens, loss-bearing tokens) into sequences under three limits.
 
@@ -102,15 +108,29 @@ class Packer:
 
 
 def encoder(path: str) -> Cache:
-    """Word to its ids as little-endian unsigned 32-bit bytes.
+    """A-Z lower-cased word to its ids as little-endian unsigned 32-bit bytes.
 
-    Only for tokenizers whose tokens never span ASCII white space and that drop it, so a text's ids
-    are its words' ids in order.
+    Only for tokenizers that lower-case, whose tokens never span ASCII white space and that drop it, and
+    that part letters from signs, so a text's ids are its words' ids in order, and a word's are those
+    of its letters and of a full stop or comma at its end.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return Cache(lambda word: np.array(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes())
+    tokenizer_model = tokenizer.model
+
+    def encode(word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0100":  # one pre-token, in normal form C: straight to the model
+            ids = [t.id for t in tokenizer_model.tokenize(text.lower().encode().decode("latin-1").translate(_BYTES))]
+        elif text[-1] in ".," and text[-2:-1].isalpha() and text[-2] < "\u0100":
+            return words[word[:-1]] + words[word[-1:]]
+        else:
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    words = Cache(encode, 500_000)
+    return words
 
 
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, max_segments: int = 1024, max_loss: int | None = None, end: int = END) -> DataFrame:
@@ -135,7 +155,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        words = encoder(path)
+        words = shared(f"encoder {path}", lambda: encoder(path))
         packer = Packer(max_tokens, max_segments, loss_limit, cut=True)
         base = TaskContext.get().partitionId() << 32
         close = np.array([end], "<u4").tobytes()
@@ -166,7 +186,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str
 
         for part in parts:
             for doc, text in zip(part.column(0).to_pylist(), raw(part.column(1)), strict=True):
-                ids = b"".join(map(words.__getitem__, text.split())) + close
+                ids = b"".join(map(words.__getitem__, text.lower().split())) + close
                 held[number] = (doc, ids)
                 items.append([number, 0, len(ids) // 4, len(ids) // 4])
                 number += 1
