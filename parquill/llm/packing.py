@@ -37,7 +37,8 @@ _BYTES = {byte: 0x100 + i for i, byte in enumerate(_ODD)}
 class Packer:
     """Packs vectors of (tokens, loss-bearing tokens) into sequences under three limits.
 
-    With ``cut`` an item may be cut where it fills a sequence; without, items stay whole and one beyond
+    With ``cut`` an item may be cut where it fills a sequence, and what is left at the very end goes into
+    sequences with lengths of powers of two; without, items stay whole and one beyond
     the limits gets sequence -1. Loss-bearing tokens of a cut item are taken as its last ones.
     """
 
@@ -90,10 +91,29 @@ class Packer:
                 free[i] = False
             if not free.any() and at < limit - LEAST_CUT and not last and room[1]:
                 return pieces, [[whole[i][0], start, n, loss] for i, start, n, loss, _ in placed]
+            if self.cut and not free.any() and at < limit - LEAST_CUT:
+                pieces += self._powers([(whole[i][0], start, n, loss) for i, start, n, loss, _ in placed], at)
+                continue
             pieces += [(whole[i][0], start, n, loss, self.sequences, offset) for i, start, n, loss, offset in placed]
             self.sequences += 1
         return pieces, []
 
+    def _powers(self, placed: list[tuple], total: int) -> list[tuple]:
+        """What does not fill a sequence, in sequences whose lengths are powers of two, so nothing is padded."""
+        out, left = [], list(placed[::-1])
+        for bit in range(total.bit_length() - 1, -1, -1):
+            room, offset = total & (1 << bit), 0
+            while room:
+                key, start, n, loss = left.pop()
+                head = min(n, room)
+                part = self._loss(n, loss, head)
+                out.append((key, start, head, part, self.sequences, offset))
+                if head < n:
+                    left.append((key, start + head, n - head, loss - part))
+                room, offset = room - head, offset + head
+            self.sequences += bool(offset)
+        return out
+
     @staticmethod
     def _loss(n: int, loss: int, head: int) -> int:
         """Loss-bearing tokens among the first ``head`` of n, if the last ``loss`` bear loss."""
