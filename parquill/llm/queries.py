@@ -101,4 +101,32 @@ ORACLE_SQL: dict[str, str] = {
         bad as (select distinct c.page_id from cut c join listed l on c.host = l.bad or ends_with(c.host, '.' || l.bad))
         select c.page_id, c.host, c.path, f.rule, coalesce(f.kind, case when b.page_id is null then 'allow' else 'block' end) as verdict
         from cut c left join fits f on c.page_id = f.page_id and f.k = 1 left join bad b on c.page_id = b.page_id""",
+    "op7_ann": """
+        with usable as (
+            select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        scored as (
+            select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]), lambda a, b: a + b) as score
+            from usable q join usable c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+        ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
+        select query_id, rank, vec_id, score from ranked where rank <= 20""",
+    "op9_jaccard": rf"""
+        with recursive cut as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+        shingles as (
+            select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) as s from cut where len(w) > 0),
+        sizes as (select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as h from shingles group by doc_id),
+        classes as (select h, min(doc_id) as class_id from sizes group by h),
+        own as (select s.doc_id, s.n, c.class_id from sizes s join classes c on s.h = c.h),
+        few as (select s.doc_id, s.s from shingles s join own o on s.doc_id = o.doc_id where o.class_id = o.doc_id),
+        common as (select a.doc_id as a, b.doc_id as b, count(*) as k from few a join few b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+        links as (select b.a, b.b from common b join own x on b.a = x.doc_id join own y on b.b = y.doc_id where 100 * b.k >= 90 * (x.n + y.n - b.k)),
+        steps as (select a, b from links union all select b, a from links),
+        reach as (
+            select class_id as doc, class_id as to_doc from classes
+            union
+            select r.doc, s.b from reach r join steps s on r.to_doc = s.a),
+        component as (select doc, min(to_doc) as component_id from reach group by doc)
+        select d.doc_id, coalesce(o.n, 0) as n_shingles, coalesce(o.class_id, d.doc_id) as class_id, coalesce(c.component_id, d.doc_id) as component_id
+        from documents d left join own o on d.doc_id = o.doc_id left join component c on o.class_id = c.doc""",
 }
