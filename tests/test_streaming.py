@@ -22,3 +22,22 @@ def test_fragments_are_kept_by_micro_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
     ingest.append_index("{}", str(tmp_path))
     assert os.path.getsize(tmp_path / "index.jsonl") == 3
+
+
+def test_progress_is_told(spark, tmp_path):
+    import time
+
+    from parquill.streaming.progress import ProgressListener
+
+    told = []
+    spark.streams.addListener(listener := ProgressListener(told.append))
+    try:
+        spark.range(5).write.parquet(str(tmp_path / "in"))
+        query = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        until = time.time() + 20
+        while (not told or told[-1].phase != "done") and time.time() < until:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[0].phase == "start" and told[-1].phase == "done" and told[-1].rows == 5 and told[-1].ok
