@@ -95,9 +95,9 @@ class Featurizer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, where: str, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` rows of at most ``most`` labels (0 or 1) under the SQL condition, by a hash of the id, with ``label``."""
+    """``docs`` rows of at most ``most`` labels (0 or 1) under the SQL condition, by a hash of the id, with ``label``; of several labels of one id the smallest."""
     few = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).filter(where).select(F.col(id_col).cast("long").alias("_label_id"), F.col(label_col).cast("int").alias("label"))
-    few = few.dropDuplicates(["_label_id"]).orderBy(F.xxhash64("_label_id"), "_label_id").limit(most)
+    few = few.groupBy("_label_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(most)
     return docs.join(F.broadcast(few), docs[id_col].cast("long") == few["_label_id"])  # at most `most` rows of two numbers
 
 
