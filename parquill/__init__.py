@@ -11,7 +11,7 @@ _PUBLIC = {
     "adapters": "Provenance check_adapter provenance_path read_provenance resolve_adapter resolve_model write_provenance",
     "errors": "AdapterExistsError AdapterMismatchError AdapterPathError AdapterProvenanceError ConfoundedComparisonError DatasetError DecodingMismatchError DestinationError EngineError EvaluationError FileError InputError OutputExistsError OutputPathError PrepareError ReasoningLeakError RecordError RecordShapeError SchemaError SourceReadError SplitIntegrityError SplitLayoutError SplitTooSmallError TrainerFailedError TrainingError TranslationError TruncatedTranslationError",
     "functions.chrf": "parameters pooled relational_counts score segment_scores",
-    "functions.chunker": "Chunk budget_chars chunk chunk_rows chunks marker reassemble render sentences token_ceiling",
+    "functions.chunker": "Chunk budget_chars chunk chunk_rows chunks marker reassemble render sentences token_ceiling with_progress",
     "functions.text": "canonical casefold collapse dense group_hash key length_problem length_ratio nfc payload strip",
     "operators.compare": "bootstrap_floor compare compare_runs join_arms spread tally verdict",
     "operators.dedupe": "conflicted_sources mark_duplicates",

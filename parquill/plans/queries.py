@@ -74,6 +74,12 @@ def prep_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_counts(_split(spark, sf_dir))
 
 
+def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source keys in all, and those in more than one split, of which there are none."""
+    by_source = _split(spark, sf_dir).groupBy("source_key").agg(F.countDistinct("split").alias("n"))
+    return by_source.agg(F.count("*").alias("n_sources"), F.count_if(F.col("n") > 1).alias("n_crossing"))
+
+
 def prep_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = split.ratio_and_length_stats(_pairs(spark, sf_dir))
     return stats.select(*[F.round(c, 6).alias(c) for c in ("min_ratio", "median_ratio", "max_ratio")], "min_length", "median_length", "max_length")
@@ -191,6 +197,10 @@ def failure_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(failed)), ",").alias("failed"), F.sum(F.length("text")).cast("long").alias("chars_total"))
 
 
+def chunk_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunker.with_progress(_lines(spark, sf_dir), "doc_id").select("doc_id", "index", "chars_done", "chars_total")
+
+
 def render_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).filter("not ok").select("doc_id", "index", F.md5(chunker.marker(F.col("index"), F.col("text"))).alias("marker_md5"))
 
@@ -219,9 +229,9 @@ def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        prep_pairs, prep_dedupe, prep_conflicts, prep_conflicted_sources, prep_split_rows, prep_split_counts, prep_stats, prep_length_guard,
+        prep_pairs, prep_dedupe, prep_conflicts, prep_conflicted_sources, prep_split_rows, prep_split_counts, split_disjoint, prep_stats, prep_length_guard,
         leak_exact, leak_contains, leak_anti, split_digest, schema_classify, record_roundtrip, chrf_segment, chrf_corpus, arm_tally, arm_verdict,
-        bootstrap_floor, chunk_roundtrip, chunk_budget, breaker, failure_list, render_markers, token_ceiling, token_fold, run_compare,
+        bootstrap_floor, chunk_roundtrip, chunk_budget, breaker, failure_list, chunk_progress, render_markers, token_ceiling, token_fold, run_compare,
     )
 }
 
@@ -309,6 +319,8 @@ ORACLE_SQL: dict[str, str] = {
     "prep_conflicted_sources": f"with {_DOC_PAIRS} select sk as source_key, count(*) as n_pairs, count(distinct tk) as n_targets from pairs group by sk having count(distinct tk) > 1",
     "prep_split_rows": f"with {_SPLIT} select k.doc_id, a.split from kept k join assigned a on k.sk = a.sk",
     "prep_split_counts": f"with {_SPLIT} select a.split, count(*) as n_rows, count(distinct k.sk) as n_sources from kept k join assigned a on k.sk = a.sk group by a.split",
+    "split_disjoint": f"""with {_SPLIT}, by_source as (select k.sk, count(distinct a.split) as n from kept k join assigned a on k.sk = a.sk group by k.sk)
+        select count(*) as n_sources, count(*) filter (where n > 1) as n_crossing from by_source""",
     "prep_stats": f"""with {_PAIRS} select round(min({_RATIO}), 6) as min_ratio, round(median({_RATIO}), 6) as median_ratio, round(max({_RATIO}), 6) as max_ratio,
         cast(min(length(source)) as bigint) as min_length, cast(floor(median(length(source))) as bigint) as median_length, cast(max(length(source)) as bigint) as max_length from pairs""",
     "prep_length_guard": f"""with {_PAIRS} select conv_id, turn, case
@@ -348,6 +360,9 @@ ORACLE_SQL: dict[str, str] = {
     "breaker": f"with {_LINES} select doc_id, index, ok, aborted from judged",
     "failure_list": f"""with {_LINES} select doc_id, coalesce(string_agg(case when not ok or aborted then index::varchar end, ',' order by index), '') as failed,
         cast(sum(length(text)) as bigint) as chars_total from judged group by doc_id""",
+    "chunk_progress": f"""with {_LINES} select doc_id, index,
+        cast(sum(length(text)) over (partition by doc_id order by index rows unbounded preceding) as bigint) as chars_done,
+        cast(sum(length(text)) over (partition by doc_id) as bigint) as chars_total from chunks""",
     "render_markers": f"""with {_LINES} select doc_id, index, md5('[[UNTRANSLATED chunk=' || index::varchar || ']]' || chr(10) || text || chr(10) || '[[/UNTRANSLATED chunk=' || index::varchar || ']]') as marker_md5
         from chunks where not ok""",
     "token_ceiling": "select doc_id, cast(greatest(512, ceil(length(text) / 2.0 * 2.0)) as bigint) as ceiling from documents",

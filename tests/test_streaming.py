@@ -41,3 +41,21 @@ def test_progress_is_told(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert told[0].phase == "start" and told[-1].phase == "done" and told[-1].rows == 5 and told[-1].ok
+
+
+def test_streamed_breaker_equals_the_batch_operator(spark, tmp_path):
+    import random
+
+    from parquill.operators.mapping import breaker
+    from parquill.streaming.breaker import stream_breaker
+
+    draw, kind = random.Random(4), "doc_id long, index int, text string, ok boolean, last boolean"
+    rows = [(d, i, draw.choice(["x", "x", ""]), draw.random() < 0.5) for d in range(12) for i in range(12)]
+    rows = [(d, i, t, ok or not t, i == 11) for d, i, t, ok in rows]
+    for part in range(3):  # chunks 0 to 3 of all documents, then 4 to 7, and so on
+        spark.createDataFrame([r for r in rows if r[1] // 4 == part], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        stream_breaker(stream, limit=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["doc_id"], r["index"]): r["aborted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = breaker(spark.createDataFrame(rows, kind), "doc_id", limit=2, empty=F.col("text") == "")
+    assert got == {(r["doc_id"], r["index"]): r["aborted"] for r in batch.collect()}
