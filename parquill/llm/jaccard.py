@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import Cache, mix, raw
+from parquill.llm.arrow import Cache, mix, raw, shared
 from parquill.llm.components import components
 from parquill.runtime import checkpoint
 
@@ -43,7 +43,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def word_hashes() -> Cache:
-    return Cache(xxhash.xxh3_64_intdigest)
+    return shared("word hashes", lambda: Cache(xxhash.xxh3_64_intdigest))
 
 
 def shingles(text: bytes, width: int, cache: Cache) -> np.ndarray:
