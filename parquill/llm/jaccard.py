@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import Cache, mix, raw, shared
+from parquill.llm.arrow import mix, raw
 from parquill.llm.components import components
 from parquill.runtime import checkpoint
 
@@ -42,11 +42,7 @@ BITS, LEAF = 1024, 16
 BROADCAST_IDS = 1_000_000
 
 
-def word_hashes() -> Cache:
-    return shared("word hashes", lambda: Cache(xxhash.xxh3_64_intdigest))
-
-
-def shingles(text: bytes, width: int, cache: Cache) -> np.ndarray:
+def shingles(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles of A-Z lower-cased text.
 
     Fewer words are one shingle; no word, none.
@@ -54,7 +50,7 @@ def shingles(text: bytes, width: int, cache: Cache) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    of = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    of = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(width, len(of))
     out = np.full(len(of) - n + 1, n, np.uint64)
     for i in range(n):
@@ -210,11 +206,11 @@ def link_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     made = T.StructType([*fields, T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, hasher = word_hashes(), MinHash(*hasher_of)
+        hasher = MinHash(*hasher_of)
         for part in parts:
             ids, n, high, low, keys = part.column(0), [], [], [], []
             for text in raw(part.column(1)):
-                of = shingles(text, width, cache)
+                of = shingles(text, width)
                 digest = xxhash.xxh3_128_intdigest(of.tobytes())
                 n.append(len(of))
                 high.append((digest >> 64) - (1 << 63))
@@ -286,9 +282,8 @@ def _resolve(texts: DataFrame, groups: DataFrame, width: int, percent: int) -> D
     pairs = T.StructType([T.StructField(c, T.LongType()) for c in "ab"])
 
     def within(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_hashes()
         for _, rows in _runs(parts):
-            ids, sets = _sets(rows, width, cache)
+            ids, sets = _sets(rows, width)
             tree = Tree(ids, sets)
             links = list(walk(tree, tree, percent, Union()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -304,12 +299,11 @@ def _resolve(texts: DataFrame, groups: DataFrame, width: int, percent: int) -> D
     known = large.select("node", "team", "block", F.lit(0).alias("kind"), "text")
 
     def across(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_hashes()
         tree, union, at, held = None, Union(), None, []
 
         def compare() -> pa.RecordBatch:
             nonlocal held
-            ids, sets = _sets(held, width, cache)
+            ids, sets = _sets(held, width)
             held = []
             links = list(walk(Tree(ids, sets), tree, percent, union))
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -324,7 +318,7 @@ def _resolve(texts: DataFrame, groups: DataFrame, width: int, percent: int) -> D
             if (team, block) != at:
                 continue
             if tree is None:
-                tree = Tree(*_sets(own_rows, width, cache))
+                tree = Tree(*_sets(own_rows, width))
             held = rows
             yield compare()
 
@@ -347,8 +341,8 @@ def _runs(parts: Iterator[pa.RecordBatch], by_kind: bool = False, most: int = 0)
         yield now, held
 
 
-def _sets(rows: list[tuple[int, bytes]], width: int, cache: Cache) -> tuple[np.ndarray, list[np.ndarray]]:
-    return np.array([n for n, _ in rows], np.int64), [shingles(t, width, cache) for _, t in rows]
+def _sets(rows: list[tuple[int, bytes]], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    return np.array([n for n, _ in rows], np.int64), [shingles(t, width) for _, t in rows]
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
