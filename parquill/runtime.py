@@ -32,3 +32,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the fixture tables; the path may be anything that Spark's readers open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table's folder by Spark's own file system, so any path that its readers open will do."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
