@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import BLANK, Cache, raw, shared
+from parquill.llm.arrow import BLANK, Cache, raw
 from parquill.runtime import checkpoint
 
 #: Character classes.
@@ -37,33 +37,31 @@ _EDGE = ".,;:!?\"'()[]{}"
 COMMON_SHARE, PART_WORDS, CANDIDATES = 1_000, 2_000_000, 20_000
 
 
-def classes(word: bytes) -> int:
-    """Histogram of a word's characters over ``CLASSES``, a byte each; for words under 256 bytes."""
-    if word.isalpha() and (word.islower() or word[1:].islower()):  # ASCII letters, at most the first one upper
-        upper = int(not word.islower())
-        return len(word) - upper + (upper << 8)
-    out = 0
-    for c in word.decode("utf-8", "replace"):
-        if c.isalpha():
-            k = 1 if c.isupper() else 0
-        elif c.isdigit():
-            k = 2
-        elif c in ".,;:!?'\"-":
-            k = 3
-        elif c in "()[]{}/":
-            k = 4
-        else:
-            k = 5 if unicodedata.category(c)[0] in "SP" else 6
-        out += 1 << 8 * k
-    return out
+def class_of(c: str) -> int:
+    """A character's place in ``CLASSES``."""
+    if c.isalpha():
+        return 1 if c.isupper() else 0
+    if c.isdigit():
+        return 2
+    if c in ".,;:!?'\"-":
+        return 3
+    if c in "()[]{}/":
+        return 4
+    return 5 if unicodedata.category(c)[0] in "SP" else 6
+
 
+#: Each ASCII byte's class by a one; blanks have none.
+_ASCII = bytes(range(128))
+_CLASS_OF_BYTE = np.array([[int(class_of(chr(c)) == k and c not in BLANK) for k in range(len(CLASSES))] for c in range(128)], np.int64)
 
-def class_histogram(words: list[bytes], kinds: Cache) -> np.ndarray:
-    """Characters of words by class."""
-    if max(map(len, words), default=0) > 255:
-        words = [w[i : i + 255] for w in words for i in range(0, len(w), 255)]
-    packed = np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
-    return np.array([int((packed >> 8 * k & 255).sum()) for k in range(len(CLASSES))], np.int64)
+
+def class_histogram(text: bytes) -> np.ndarray:
+    """A text's characters by class, without ASCII blanks."""
+    out = np.bincount(np.frombuffer(text, np.uint8), minlength=256)[:128] @ _CLASS_OF_BYTE
+    if not text.isascii():
+        for c, n in Counter(text.translate(None, _ASCII).decode("utf-8", "replace")).items():
+            out[class_of(c)] += n
+    return out
 
 
 def core(word: bytes) -> str:
@@ -160,14 +158,14 @@ def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int],
     counted = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, place = shared("classes", lambda: Cache(classes)), Cache(lambda w: union.get(core(w), width))
+        place = Cache(lambda w: union.get(core(w), width))
         held = {lang: np.zeros(width + 1 + len(CLASSES), np.int64) for lang in all_words}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
                 words = text.split()
                 if words and lang in held:
                     held[lang][: width + 1] += np.bincount(np.fromiter(map(place.__getitem__, words), np.int64, len(words)), minlength=width + 1)
-                    held[lang][width + 1 :] += class_histogram(words, kinds)
+                    held[lang][width + 1 :] += class_histogram(text)
         rows = [(lang, int(i), int(n[i])) for lang, n in held.items() for i in [*(union[w] for w in asked[lang]), *range(width, len(n))]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=counted.names)
 
@@ -207,7 +205,6 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     out = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in longs], T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = shared("classes", lambda: Cache(classes))
         # A word's place among all languages' common words, and that place's in each language.
         union = {w: i for i, w in enumerate(sorted({w for _, words, _ in known.values() for w in words}))}
         of_lang = {lang: np.array([words.get(w, len(words)) for w in union] + [len(words)]) for lang, (_, words, _) in known.items()}
@@ -222,7 +219,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 if words and known:
                     lang = lang if lang in known else ""
                     reference, _, common = known[lang]
-                    class_distance = divergence(class_histogram(words, kinds), reference)
+                    class_distance = divergence(class_histogram(text), reference)
                     at = of_lang[lang][np.fromiter(map(place.__getitem__, words), np.int64, n)]
                     word_distance = divergence(np.bincount(at, minlength=len(common)).astype(float), common)
                 most_class, most_word = limits(n, max_class_distance, max_word_distance)
