@@ -25,18 +25,24 @@ from pyspark.sql import types as T
 #: Vectors of one shard, about: a tree of a few MB.
 SHARD_VECTORS = 8_192
 #: Points of a leaf.
-LEAF = 96
+LEAF = 128
 #: Queries that walk a tree together.
 QUERY_BLOCK = 512
 
 
+@dataclass
+class Leaf:
+    number: int
+    of: np.ndarray
+
+
 @dataclass
 class Node:
     point: int  # the vantage point
     low: tuple[float, float]  # range of distances from it, for each half
     high: tuple[float, float]
-    inner: Node | np.ndarray
-    outer: Node | np.ndarray
+    inner: Node | Leaf
+    outer: Node | Leaf
 
 
 class VantageTree:
@@ -48,12 +54,13 @@ class VantageTree:
         norms = (self.vectors**2).sum(1)
         self.longest = float(norms.max(initial=0.0))
         self.points = np.hstack([self.vectors, np.sqrt(np.maximum(0, self.longest - norms))[:, None]])
-        self.leaf = leaf
-        self.root = self._build(np.arange(len(ids)), 0) if len(ids) else np.arange(0)
+        self.leaf, self.leaves = leaf, 0
+        self.root = self._build(np.arange(len(ids)))
 
-    def _build(self, of: np.ndarray, depth: int) -> Node | np.ndarray:
+    def _build(self, of: np.ndarray) -> Node | Leaf:
         if len(of) <= self.leaf:
-            return of
+            self.leaves += 1
+            return Leaf(self.leaves - 1, of)
         # The vantage point: the one farthest from the first, so distances from it spread.
         far = ((self.points[of] - self.points[of[0]]) ** 2).sum(1)
         point = int(of[np.argmax(far)])
@@ -61,7 +68,7 @@ class VantageTree:
         order = np.argsort(away, kind="stable")
         half = len(of) // 2
         near, rest = order[:half], order[half:]
-        return Node(point, (float(away[near[0]]), float(away[near[-1]])), (float(away[rest[0]]), float(away[rest[-1]])), self._build(np.sort(of[near]), depth + 1), self._build(np.sort(of[rest]), depth + 1))
+        return Node(point, (float(away[near[0]]), float(away[near[-1]])), (float(away[rest[0]]), float(away[rest[-1]])), self._build(np.sort(of[near])), self._build(np.sort(of[rest])))
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """Each query's k best ids (-1: none) and scores among the tree's vectors but ``own``; ties to the smaller id."""
@@ -71,26 +78,43 @@ class VantageTree:
         self._base = (queries**2).sum(1) + self.longest  # squared distance = base - 2 * inner product
         self._at = np.full((n, k), -1)
         self._score = np.full((n, k), -np.inf)
+        self._home = np.full(n, -1)
         if len(self.ids):
+            self._descend(self.root, np.arange(n))
             self._walk(self.root, np.arange(n))
         return np.where(self._at >= 0, self.ids[self._at] if len(self.ids) else -1, -1), self._score
 
-    def _walk(self, node: Node | np.ndarray, who: np.ndarray) -> None:
+    def _away(self, node: Node, who: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self._flat[who] - self.points[node.point]) ** 2).sum(1))
+
+    def _descend(self, node: Node | Leaf, who: np.ndarray) -> None:
+        """Every query to the leaf it falls into, for a first bound on its k-th best distance."""
         if not len(who):
             return
-        if isinstance(node, np.ndarray):
-            self._leaf(node, who)
+        if isinstance(node, Leaf):
+            self._home[who] = node.number
+            self._leaf(node.of, who)
             return
-        away = np.sqrt(((self._flat[who] - self.points[node.point]) ** 2).sum(1))
-        first_in = away <= (node.low[1] + node.high[0]) / 2
-        for near in (True, False):  # the half that is nearer first, then the other if it may hold a better one
-            here = first_in if near else ~first_in
-            for child, span, some in ((node.inner, node.low, here), (node.outer, node.high, ~here)):
-                bound = np.maximum(0, np.maximum(span[0] - away, away - span[1]))
-                worst = np.sqrt(np.maximum(0, self._base[who] - 2 * self._score[who, -1]))
-                self._walk(child, who[some & (self._factor * bound <= worst * (1 + 1e-9) + 1e-9)])
+        inside = self._away(node, who) <= (node.low[1] + node.high[0]) / 2
+        self._descend(node.inner, who[inside])
+        self._descend(node.outer, who[~inside])
+
+    def _walk(self, node: Node | Leaf, who: np.ndarray) -> None:
+        """All queries that a half may better go there together."""
+        if not len(who):
+            return
+        if isinstance(node, Leaf):
+            self._leaf(node.of, who[self._home[who] != node.number])
+            return
+        away = self._away(node, who)
+        for child, span in ((node.inner, node.low), (node.outer, node.high)):
+            bound = np.maximum(0, np.maximum(span[0] - away, away - span[1]))
+            worst = np.sqrt(np.maximum(0, self._base[who] - 2 * self._score[who, -1]))
+            self._walk(child, who[self._factor * bound <= worst * (1 + 1e-9) + 1e-9])
 
     def _leaf(self, of: np.ndarray, who: np.ndarray) -> None:
+        if not len(who):
+            return
         own = self._own[who]
         rough = self._q[who] @ self.vectors[of].T
         hope = (rough >= self._score[who, -1][:, None] - 1e-9).any(1)
@@ -102,10 +126,18 @@ class VantageTree:
         if len(of) > self._k:  # the best, and all within rounding of the k-th
             floor = np.maximum(floor, -np.partition(-rough, self._k - 1, axis=1)[:, self._k - 1])
         row, col = np.nonzero(rough >= np.where(np.isneginf(floor), -np.finfo(float).max, floor - 1e-9)[:, None])
-        exact = np.full(rough.shape, -np.inf)
-        exact[row, col] = inner(self._q[who[row]], self.vectors[of[col]])
-        scores = np.hstack([self._score[who], exact])
-        at = np.hstack([self._at[who], np.broadcast_to(of, (len(who), len(of)))])
+        if not len(row):
+            return
+        # Only queries with new candidates, each with as many places as the most have.
+        some, first, n = np.unique(row, return_index=True, return_counts=True)
+        place = np.arange(len(row)) - np.repeat(first, n)
+        line = np.repeat(np.arange(len(some)), n)
+        shape = (len(some), int(n.max()))
+        exact, where = np.full(shape, -np.inf), np.full(shape, -1)
+        exact[line, place] = inner(self._q[who[row]], self.vectors[of[col]])
+        where[line, place] = of[col]
+        who = who[some]
+        scores, at = np.hstack([self._score[who], exact]), np.hstack([self._at[who], where])
         best = np.lexsort((np.where(at >= 0, self.ids[at], np.iinfo(np.int64).max), -scores), axis=1)[:, : self._k]
         self._score[who] = np.take_along_axis(scores, best, 1)
         at = np.take_along_axis(at, best, 1)
@@ -113,8 +145,11 @@ class VantageTree:
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, summed in one order whatever the block, so equal vectors tie."""
-    return (a * b).sum(1)
+    """Inner products of rows, summed from the first component on, so equal vectors tie and SQL sums alike."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
 
 
 def nearest(vectors: DataFrame, *, query: str, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_vectors: int = SHARD_VECTORS) -> DataFrame:
