@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and a linear-chain conditional random field that adds spans.
 
-The field tags words as begin, inside or outside of a secret, from the word's shape, the neighbouring
-words and features of the whole text, and is decoded by Viterbi. It is trained on a bounded sample
+The field tags words as begin, inside or outside of a secret, from the word and its shape, the neighbouring
+words themselves and their shapes, and features of the whole text, and is decoded by Viterbi. It is trained on a bounded sample
 whose silver labels are the base patterns' matches, with the naming word hidden in half of the cases so
 that shape and context alone must do; what is not plain but matches no pattern is shown as well.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +31,16 @@ PATTERNS = {
 KINDS = (*PATTERNS, "crf")
 _NAMES = re.compile(r"pass(?:word|wd)|secret|token|api_?key", re.I | re.A)
 _LEAD = re.compile(rf"^.*(?:{_NAMES.pattern})[\"']?[:=]?[\"']?", re.I | re.A)
-#: Words whose neighbourhood tells: all others are alike to their neighbours but for their shape.
+#: What is not plain behind such a word may be a secret that no pattern has.
 NAMING = frozenset("password passwd pwd pass secret token key apikey api_key auth credential credentials login bearer access private id user".split())
 #: Texts whose windows train the field at most, words of a window, and hashed features.
-SAMPLE_ROWS, WINDOW, FEATURES = 6_000, 24, 1 << 12
-#: Features of one word: 9 of its own, 2 of the text, 2 of each neighbour.
-MOST_FEATURES = 15
+SAMPLE_ROWS, WINDOW, FEATURES = 6_000, 24, 1 << 18
+#: Features of one word: 10 of its own, 2 of the text, 3 of each neighbour.
+MOST_FEATURES = 18
 O, B, I = 0, 1, 2  # noqa: E741
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Kinds of words with scores of their own that a task holds.
-MOST_KINDS = 50_000
+#: Words and forms of words whose scores a task holds before it starts anew.
+MOST_WORDS, MOST_FORMS = 300_000, 50_000
 _EDGE = "\"'`,;:()[]{}<>.!?"
 
 
@@ -62,30 +62,34 @@ def _signs(word: str) -> str:
     return f"q{'=' in word}{':' in word}"
 
 
-def _own(word: str) -> list[str]:
-    """Features of a word by itself. Plain words have few, so they share their scores."""
+def _name(word: str) -> str:
+    """The word itself as a feature, whatever its language."""
+    return f"w{word.strip(_EDGE).lower()}"
+
+
+def _form(word: str) -> list[str]:
+    """Features of a word's form. Words of one form share what these score."""
     core = word.strip(_EDGE)
     n = len(core)
-    if core.isalpha():
-        case = "l" if core.islower() else "t" if core[1:].islower() else "u" if core.isupper() else "m"
-        return [f"an{min(n, 48) // 4}", f"ac{case}", f"aw{core.lower() if core.lower() in NAMING else ''}", _signs(word)]
     counts = Counter(core)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0
     digits, upper, lower = (sum(map(f, core)) for f in (str.isdigit, str.isupper, str.islower))
     mixed = f"{upper > 0:d}{lower > 0:d}{digits > 0:d}"
-    switches = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:], strict=False))
+    switches = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:], strict=False)) if digits else 0
     return [f"n{min(n, 48) // 4}", f"e{int(entropy * 2)}", f"d{digits * 8 // n if n else 0}", f"m{mixed}", f"x{min(switches, 24) // 3}", f"s{shape(word)}", f"=n{n >= 8}{n >= 16}{n >= 32}{mixed}", f"@{'@' in core}{core.count('.')}", _signs(word)]
 
 
+def _own(word: str) -> list[str]:
+    """Features of a word by itself. Words with other signs than letters have none of their own name: a code is seen once, and its name would only learn its label by heart."""
+    return [*_form(word), *([_name(word)] if word.strip(_EDGE).isalpha() else [])]
+
+
 def _near(word: str) -> list[str]:
     """Features of a word for its neighbours."""
-    core = word.strip(_EDGE).lower()
-    if core.isalpha() or core in NAMING:
-        return [f"w{core if core in NAMING else ''}", _signs(word)]
-    return [f"h{shape(word)}", _signs(word)]
+    return [_name(word), f"h{shape(word)}", _signs(word)]
 
 
-def _hash(names: list[str], place: str) -> np.ndarray:
+def _hash(names: Sequence[str], place: str) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(f"{place}{x}") % FEATURES for x in names], np.int64)
 
 
@@ -182,27 +186,35 @@ class Scanner:
 
     def __init__(self, field: Field) -> None:
         self.field = field
-        self.rows: list[np.ndarray] = []  # scores of kinds of words: own, for the next word, for the one before
-        self.kinds: dict[tuple, int] = {}
-        self.table = np.zeros((0, 9))
-        self.words = Cache(self._kind)
         w = field.weights
         self.files = Cache(lambda key: w[_hash(file_feature(*key), "f")].sum(0), 1_000)
+        self._start()
+
+    def _start(self) -> None:
+        self.table = np.zeros((1024, 9))  # scores of words: own, for the next word, for the one before
+        self.used = 0
+        self.forms: dict[tuple, np.ndarray] = {}
+        self.words = Cache(self._word, 1 << 62)
 
-    def _kind(self, word: bytes) -> int:
-        """The number of the word's kind, and two flags: a base pattern may start in it; its core is no plain word."""
+    def _word(self, word: bytes) -> int:
+        """The word's row, and two flags: a base pattern may start in it; its core is no plain word."""
         text = word.decode("utf-8", "replace")
-        own, near = _own(text), _near(text)
-        key = (*own, *near)
-        at = self.kinds.get(key)
-        if at is None:
-            if len(self.kinds) >= MOST_KINDS:
-                self.kinds.clear()
-            at = self.kinds[key] = len(self.rows)
-            w = self.field.weights
-            self.rows.append(np.concatenate([w[_hash(own, "o")].sum(0), w[_hash(near, "p")].sum(0), w[_hash(near, "n")].sum(0)]))
+        form, name, w = tuple(_form(text)), _name(text), self.field.weights
+        row = self.forms.get(form)
+        if row is None:
+            if len(self.forms) >= MOST_FORMS:
+                self.forms.clear()
+            near = _near(text)[1:]
+            row = self.forms[form] = np.concatenate([w[_hash(form, "o")].sum(0), w[_hash(near, "p")].sum(0), w[_hash(near, "n")].sum(0)])
+        at = self.used
+        self.used += 1
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        plain = text.strip(_EDGE).isalpha()
+        self.table[at] = row
+        self.table[at, 0 if plain else 3 :] += w[[xxhash.xxh3_64_intdigest(f"{place}{name}") % FEATURES for place in ("opn" if plain else "pn")]].ravel()
         base = bool(_NAMES.search(text)) or "AKIA" in text or len(word) >= 32
-        return at << 2 | base << 1 | (not text.strip(_EDGE).isalpha())
+        return at << 2 | base << 1 | (not plain)
 
     def spans(self, data: bytes) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
         """Base spans, and all of them with the field's that touch none, by start."""
@@ -210,9 +222,9 @@ class Scanner:
         if not words:
             return [], []
         n = len(words)
+        if self.used >= MOST_WORDS:
+            self._start()
         known = np.fromiter(map(self.words.__getitem__, words), np.int64, n)
-        if len(self.table) < len(self.rows):
-            self.table = np.array(self.rows)
         rows = self.table[known >> 2]
         score = rows[:, :3] + self.files[n, int((known & 1).sum())]
         score[1:] += rows[:-1, 3:6]

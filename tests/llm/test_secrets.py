@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from parquill.llm import secrets
 from parquill.llm.secrets import B, FEATURES, I, O, Field, base_spans, scan_secrets
 
 ASSIGN = re.compile(r"""((?:p|P)(?:a|A)(?:s|S)(?:s|S)(?:(?:w|W)(?:o|O)(?:r|R)(?:d|D)|(?:w|W)(?:d|D))|(?:s|S)(?:e|E)(?:c|C)(?:r|R)(?:e|E)(?:t|T)|(?:t|T)(?:o|O)(?:k|K)(?:e|E)(?:n|N)|(?:a|A)(?:p|P)(?:i|I)_?(?:k|K)(?:e|E)(?:y|Y))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -51,6 +52,32 @@ def test_the_field_adds_secrets_that_no_pattern_has(spark):
     assert found >= 15
 
 
+def test_the_field_learns_contexts_of_any_language(spark):
+    draw = random.Random(11)
+    words = ["das", "nuevo", "avec", "plain", "words", "mail", "to", "call", "soon.", "and"]
+    some = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    code = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    # Codes that no pattern has are secrets behind a word that silver labels have before theirs, and none behind another.
+    rows = [(i, f"{some(20)} {draw.choice(['Passwort', 'clave'])} token={code(18)} {some(20)}" if i % 4 < 2 else f"{some(20)} commit {code(18)} {some(20)}") for i in range(600)]
+    rows += [(1000 + i, f"{some(20)} {['Passwort', 'clave'][i % 2]} {code(18)} {some(20)}") for i in range(20)] + [(2000 + i, f"{some(20)} commit {code(18)} {some(20)}") for i in range(20)]
+    got = {r["doc_id"]: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(any(s["kind"] == "crf" and s["end"] - s["start"] == 18 for s in got[1000 + i]["spans"]) for i in range(20)) >= 15
+    assert sum(bool(got[2000 + i]["spans"]) for i in range(20)) <= 2
+
+
+def test_scores_of_all_words_are_those_of_their_features(monkeypatch):
+    draw = np.random.default_rng(12)
+    monkeypatch.setattr(secrets, "MOST_WORDS", 3)
+    field = Field(draw.normal(size=(FEATURES, 3)), np.zeros((3, 3)))
+    scanner = secrets.Scanner(field)
+    for _ in range(3):
+        scanner.spans("Passwort: qwertzuiop hunter2 clave".encode())
+        for w in ("Passwort:", "qwertzuiop", "hunter2"):
+            want = [field.weights[secrets._hash(f(w), p)].sum(0) for f, p in ((secrets._own, "o"), (secrets._near, "p"), (secrets._near, "n"))]
+            assert np.allclose(scanner.table[scanner.words[w.encode()] >> 2], np.concatenate(want))
+    assert scanner.used <= 4 + 3 and len({*secrets._near("clave")} & {*secrets._near("horas")}) < 3
+
+
 def test_viterbi_equals_all_paths():
     draw = np.random.default_rng(9)
     for _ in range(200):
