@@ -3,12 +3,15 @@
 The field tags words as begin, inside or outside of a secret, from the word and its shape, the neighbouring
 words themselves and their shapes, and features of the whole text, and is decoded by Viterbi. It is trained on a bounded sample
 whose silver labels are the base patterns' matches, with the naming word hidden in half of the cases so
-that shape and context alone must do; what is not plain but matches no pattern is shown as well.
+that shape and context alone must do; what is not plain but matches no pattern is shown as well. Base
+matches hold no blank, so inside is learned from bodies of private keys and from windows in which a
+matched value goes on over several words of its signs, as wrapped secrets do.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -30,6 +33,10 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "crf")
 _NAMES = re.compile(r"pass(?:word|wd)|secret|token|api_?key", re.I | re.A)
+#: Bodies of private keys, which silver labels have besides the base patterns: secrets over several words.
+_BODY = re.compile(r"-----BEGIN (?:[A-Z0-9]+\x20)*PRIVATE KEY(?: BLOCK)?-----[\x20\x09-\x0D]+([A-Za-z0-9+/=\x20\x09-\x0D]*[A-Za-z0-9+/=])[\x20\x09-\x0D]+-----END[A-Z0-9\x20]*-----")
+#: Least signs of a value that is also shown as the first of several lines.
+WRAP_SIGNS = 16
 _LEAD = re.compile(rf"^.*(?:{_NAMES.pattern})[\"']?[:=]?[\"']?", re.I | re.A)
 #: What is not plain behind such a word may be a secret that no pattern has.
 NAMING = frozenset("password passwd pwd pass secret token key apikey api_key auth credential credentials login bearer access private id user".split())
@@ -147,12 +154,15 @@ class Field:
     def tags(self, score: np.ndarray) -> np.ndarray:
         """The best tags by Viterbi of words x 3 scores.
 
-        Where outside leads by more than moves can make up, it stands on the best path whatever the
-        neighbours are, so only the stretches between such words are decoded.
+        Where outside leads by more than moves and the next word's change from inside to begin can make
+        up, it stands on the best path whatever the neighbours are, so only the stretches between such
+        words are decoded. (A path with another tag there gains by outside: two moves change, or three
+        if the next word is inside, which then becomes begin as it may not follow outside.)
         """
         out = np.zeros(len(score), np.int64)
         lead = score[:, O] - score[:, 1:].max(1)
-        spread = 2 * float(self.moves.max() - self.moves.min())
+        lead[:-1] -= np.maximum(0, score[1:, I] - score[1:, B])
+        spread = 3 * float(self.moves.max() - self.moves.min())
         doubt = np.flatnonzero(lead <= spread)
         if not len(doubt):
             return out
@@ -181,6 +191,17 @@ class Field:
         return out
 
 
+class _Classes(dict):
+    """A sign's class by its code point, for str.translate: signs that features tell apart stay."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = c.isupper() << 3 | c.islower() << 2 | c.isalpha() << 1 | c.isdigit()
+        # Private code points stand for the classes, so none meets a sign that stays.
+        self[code] = c if c in _EDGE + "=:_-./+\"'@" else chr(0xE000 + kind)
+        return self[code]
+
+
 class Scanner:
     """Finds the base spans and those that the field adds."""
 
@@ -188,33 +209,46 @@ class Scanner:
         self.field = field
         w = field.weights
         self.files = Cache(lambda key: w[_hash(file_feature(*key), "f")].sum(0), 1_000)
+        self.classes = _Classes()
+        self.names = np.concatenate([w, np.zeros((1, 3))])
         self._start()
 
     def _start(self) -> None:
         self.table = np.zeros((1024, 9))  # scores of words: own, for the next word, for the one before
         self.used = 0
-        self.forms: dict[tuple, np.ndarray] = {}
+        self.fresh: list[int] = []  # of words without a row yet: the form's row, places of the names' weights
+        self.forms: dict[tuple, int] = {}
+        self.form_table = np.zeros((1024, 9))
         self.words = Cache(self._word, 1 << 62)
 
     def _word(self, word: bytes) -> int:
         """The word's row, and two flags: a base pattern may start in it; its core is no plain word."""
         text = word.decode("utf-8", "replace")
-        form, name, w = tuple(_form(text)), _name(text), self.field.weights
-        row = self.forms.get(form)
-        if row is None:
-            if len(self.forms) >= MOST_FORMS:
-                self.forms.clear()
-            near = _near(text)[1:]
-            row = self.forms[form] = np.concatenate([w[_hash(form, "o")].sum(0), w[_hash(near, "p")].sum(0), w[_hash(near, "n")].sum(0)])
-        at = self.used
+        core = text.strip(_EDGE)
+        # These tell all features of the form: the signs' classes, and how often the core has each of its signs.
+        form = (text.translate(self.classes), tuple(sorted(map(core.count, set(core)))) if len(core) <= 48 else text)
+        at = self.forms.get(form)
+        if at is None:
+            at = self.forms[form] = len(self.forms)
+            if at == len(self.form_table):
+                self.form_table = np.concatenate([self.form_table, np.zeros_like(self.form_table)])
+            own, near, w = _form(text), _near(text)[1:], self.field.weights
+            self.form_table[at] = np.concatenate([w[_hash(own, "o")].sum(0), w[_hash(near, "p")].sum(0), w[_hash(near, "n")].sum(0)])
+        plain, name, digest = core.isalpha(), _name(text), xxhash.xxh3_64_intdigest
+        self.fresh += at, digest("o" + name) % FEATURES if plain else FEATURES, digest("p" + name) % FEATURES, digest("n" + name) % FEATURES
+        base = bool(_NAMES.search(text)) or "AKIA" in text or len(word) >= 32
         self.used += 1
-        if at == len(self.table):
+        return (self.used - 1) << 2 | base << 1 | (not plain)
+
+    def _fill(self) -> None:
+        """Rows of the fresh words."""
+        if not self.fresh:
+            return
+        new = np.array(self.fresh, np.int64).reshape(-1, 4)
+        self.fresh.clear()
+        while self.used > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        plain = text.strip(_EDGE).isalpha()
-        self.table[at] = row
-        self.table[at, 0 if plain else 3 :] += w[[xxhash.xxh3_64_intdigest(f"{place}{name}") % FEATURES for place in ("opn" if plain else "pn")]].ravel()
-        base = bool(_NAMES.search(text)) or "AKIA" in text or len(word) >= 32
-        return at << 2 | base << 1 | (not plain)
+        self.table[self.used - len(new) : self.used] = self.form_table[new[:, 0]] + self.names[new[:, 1:]].reshape(-1, 9)
 
     def spans(self, data: bytes) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
         """Base spans, and all of them with the field's that touch none, by start."""
@@ -222,9 +256,10 @@ class Scanner:
         if not words:
             return [], []
         n = len(words)
-        if self.used >= MOST_WORDS:
+        if self.used >= MOST_WORDS or len(self.forms) >= MOST_FORMS:
             self._start()
         known = np.fromiter(map(self.words.__getitem__, words), np.int64, n)
+        self._fill()
         rows = self.table[known >> 2]
         score = rows[:, :3] + self.files[n, int((known & 1).sum())]
         score[1:] += rows[:-1, 3:6]
@@ -255,45 +290,66 @@ class Scanner:
         return out
 
 
+def _lines(value: str, draw: int) -> list[str]:
+    """One to three more lines of a value's signs, the last one shorter."""
+    order = random.Random(draw)
+    lines = ["".join(order.sample(value, len(value))) for _ in range(order.randrange(1, 4))]
+    lines[-1] = lines[-1][: order.randrange(len(value) // 2, len(value) + 1)]
+    return lines
+
+
 def windows(data: bytes, number: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training windows of a text: around base matches, around two other words that are not plain, and for one text in four anywhere. (features, tags) by word."""
+    """Training windows of a text: around base matches and a private key's body, one with a matched value over several words, around two other words that are not plain, and for one text in four anywhere. (features, tags) by word."""
     text = data.decode("utf-8", "replace")
     found = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     if not found:
         return []
     tags = np.zeros(len(found), np.int64)
     starts = np.array([a for a, _, _ in found])
-    middles = []
+    middles, values, known = [], [], set()
+    place = lambda at: int(np.searchsorted(starts, at, "right") - 1)
+    for m in _BODY.finditer(text):
+        first, last = place(m.start(1)), place(m.end(1) - 1)
+        tags[first], tags[first + 1 : last + 1] = B, I
+        known.update(range(place(m.start()), place(m.end() - 1) + 1))
+        middles.append(first)
     for start, kind, end in base_spans(text):
         if kind == "assign":  # the value, not its name
             m = PATTERNS["assign"][0].match(text, start)
             start = m.start(2)
-        first, last = int(np.searchsorted(starts, start, "right") - 1), int(np.searchsorted(starts, end - 1, "right") - 1)
+        first = place(start)
         tags[first] = tags[first] or B
-        tags[first + 1 : last + 1] = I
         middles.append(first)
+        if kind != "access" and end - start >= WRAP_SIGNS and tags[first] == B:
+            values.append((first, text[start:end]))
     odd = [i for i, (_, _, w) in enumerate(found) if not w.strip(_EDGE).isalpha()]
     codes, draw = len(odd), xxhash.xxh3_64_intdigest(data, number & 0xFFFFFFFF)
     # What is not plain and follows a naming word may be a secret that no pattern has: windows with it teach nothing.
-    doubt = [i for i in odd if tags[i] == O and any(w.strip(_EDGE).lower() in NAMING for _, _, w in found[max(0, i - 2) : i])]
+    doubt = [i for i in odd if tags[i] == O and i not in known and any(w.strip(_EDGE).lower() in NAMING for _, _, w in found[max(0, i - 2) : i])]
     others = [i for i in odd if tags[i] == O and i not in doubt]
     middles = middles[:6] + [others[(draw >> k) % len(others)] for k in (8, 24) if others] + [draw % len(found)] * (draw >> 60 < 4)
     whole = _hash(file_feature(len(found), codes), "f")
     out = []
-    for k, middle in enumerate(middles):
+    for k, (middle, value) in enumerate([*((m, "") for m in middles), *([values[draw % len(values)]] if values else [])]):
         a = max(0, middle - WINDOW // 2)
         if any(a <= i < a + WINDOW for i in doubt):
             continue
-        some = [w for _, _, w in found[a : a + WINDOW]]
+        some, own_tags = [w for _, _, w in found[a : a + WINDOW]], tags[a : a + WINDOW].copy()
         hide = (number + k) % 2 == 0
         some = [(_LEAD.sub("", w) or "x") if hide else w for w in some]
+        if value:
+            lines = _lines(value, draw)
+            word, at = found[middle][2], middle - a
+            some[at : at + 1] = [value if hide else word[: word.index(value) + len(value)], *lines]
+            own_tags = np.concatenate([own_tags[: at + 1], [I] * len(lines), own_tags[at + 1 :]])[:WINDOW]
+            some = some[:WINDOW]
         rows = np.full((len(some), MOST_FEATURES), -1, np.int64)
         for i, w in enumerate(some):
             left = _hash(_near(some[i - 1]), "p") if i else whole[:0]
             right = _hash(_near(some[i + 1]), "n") if i + 1 < len(some) else whole[:0]
             of = np.concatenate([_hash(_own(w), "o"), whole, left, right])
             rows[i, : len(of)] = of
-        out.append((rows, tags[a : a + WINDOW].copy()))
+        out.append((rows, own_tags))
     return out
 
 
@@ -309,7 +365,7 @@ def fit_field(docs: DataFrame, id_col: str, text_col: str, rows: int) -> Field:
             yield pa.RecordBatch.from_pydict({"id": pa.array([d for d, _ in out], pa.int64()), "features": pa.array([w[0].ravel() for _, w in out], pa.list_(pa.int64())), "tags": pa.array([w[1] for _, w in out], pa.list_(pa.int64()))})
 
     used = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    got = used.join(F.broadcast(few), used["id"] == few["_field_id"]).select("id", "text").mapInArrow(cut, kind).toArrow()  # rows texts' windows, 9 each at most
+    got = used.join(F.broadcast(few), used["id"] == few["_field_id"]).select("id", "text").mapInArrow(cut, kind).toArrow()  # rows texts' windows, 10 each at most
     order = np.argsort(got["id"].to_numpy(), kind="stable")[: 2 * rows]
     all_features, all_tags = got["features"].combine_chunks(), got["tags"].combine_chunks()
     x, y = np.full((len(order), WINDOW, MOST_FEATURES), -1, np.int64), np.full((len(order), WINDOW), -1, np.int64)

@@ -75,6 +75,18 @@ def test_scores_of_all_words_are_those_of_their_features(monkeypatch):
         for w in ("Passwort:", "qwertzuiop", "hunter2"):
             want = [field.weights[secrets._hash(f(w), p)].sum(0) for f, p in ((secrets._own, "o"), (secrets._near, "p"), (secrets._near, "n"))]
             assert np.allclose(scanner.table[scanner.words[w.encode()] >> 2], np.concatenate(want))
+    monkeypatch.setattr(secrets, "MOST_WORDS", 10_000)
+    monkeypatch.setattr(secrets, "MOST_FORMS", 500)
+    signs = random.Random(12)
+    words = ["".join(signs.choice("abcABC0123éÉßªº²٣中=:_-./+\"'@#$,;(\ue000") for _ in range(signs.randrange(1, 9) if i % 9 else 70)) for i in range(3000)]
+    words += ["".join(signs.choice("abAB") for _ in range(signs.randrange(1, 9))) for _ in range(1000)]
+    for k in range(0, len(words), 50):
+        scanner.spans(" ".join(words[k : k + 50]).encode())
+        for w in words[k : k + 50]:
+            want = [field.weights[secrets._hash(f(w), p)].sum(0) for f, p in ((secrets._own, "o"), (secrets._near, "p"), (secrets._near, "n"))]
+            assert np.allclose(scanner.table[scanner.words[w.encode()] >> 2], np.concatenate(want)), w
+    scanner._start()
+    scanner.spans("Passwort: qwertzuiop hunter2 clave".encode())
     assert scanner.used <= 4 + 3 and len({*secrets._near("clave")} & {*secrets._near("horas")}) < 3
 
 
@@ -94,6 +106,36 @@ def test_viterbi_equals_all_paths():
         assert tuple(field.tags(score)) == best
 
 
+def test_inside_is_trained_and_a_secret_over_several_words_is_one_span(spark):
+    draw = random.Random(13)
+    words = ["the", "login", "of", "plain", "words", "mail", "to", "4532", "call", "soon.", "and"]
+    some = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    code = lambda n: "".join(draw.choice("0123456789abcdefABCDEFxyzXYZ") for _ in range(n))
+    text = f"{some(20)} token={code(40)} {some(20)}"
+    assert any((tags == I).any() for _, tags in secrets.windows(text.encode(), 1))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{code(64)}\n{code(64)}\n-----END RSA PRIVATE KEY-----"
+    assert any(((tags == B).sum(), (tags == I).sum()) == (1, 1) for _, tags in secrets.windows(f"{some(20)} {key} {some(20)}".encode(), 1))
+    rows = [(i, f"{some(20)} token={code(40)} {some(20)}") for i in range(600)]
+    wrapped = ["\n".join(code(40) for _ in range(3)) + "\n" + code(25) for _ in range(20)]
+    late = [(None, f"{some(20)}\n{w}\n{some(20)}") for w in wrapped]
+    got = [r for r in scan_secrets(spark.createDataFrame(rows + late, "doc_id long, text string").coalesce(1)).collect() if r["doc_id"] is None]
+    found = [any((s["start"], s["end"]) == (t.index(w), t.index(w) + len(w)) for s in r["spans"]) for r, (_, t), w in zip(got, late, wrapped, strict=True)]
+    assert sum(found) >= 15
+
+
+def test_a_word_before_an_inside_is_decoded():
+    field = Field(np.zeros((FEATURES, 3)), np.zeros((3, 3)))
+    assert field.tags(np.array([[20.0, 0, 0], [0, 0, 100]])).tolist() == [B, I]
+    draw = np.random.default_rng(14)
+    for _ in range(300):
+        n = int(draw.integers(1, 6))
+        field = Field(np.zeros((FEATURES, 3)), draw.normal(size=(3, 3)) / 2)
+        score = draw.normal(size=(n, 3)) * 8
+        valid = [p for p in np.ndindex(*[3] * n) if p[0] != I and (O, I) not in zip(p, p[1:], strict=False)]
+        value = lambda p: sum(score[i, t] for i, t in enumerate(p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:], strict=False))
+        assert tuple(field.tags(score)) == max(valid, key=value)
+
+
 def test_gradient_follows_the_likelihood():
     draw = np.random.default_rng(10)
     tags = draw.choice([O, O, O, B], (200, 8))
