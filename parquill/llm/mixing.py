@@ -6,22 +6,27 @@ earliest deadline. On one processor that meets all deadlines, so after every slo
 within one block of w*t.
 
 Weights are whole shares of their sum Q. After Q slots every source has had exactly its share, so the
-schedule repeats: only one period of Q slots is computed, and each block finds its slot from its number
-alone. When a source has no block left, the phase ends and the others go on by their own shares.
+schedule repeats: only one period of Q slots is computed, or the phase if it is shorter, and each block
+finds its slot from its number alone. When a source has no block left, the phase ends and the others go
+on by their own shares. The driver computes as many slots as there are blocks at most.
+
+Shares from counts are so many in all that each is within ``SHARE_ERROR`` of its weight, however small.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
+from array import array
+from bisect import bisect_left
 from collections.abc import Mapping
-from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Shares in all when weights are derived from counts.
-SHARES = 1_000
+#: Shares in all when weights are derived from counts, or a multiple of them so that no share is farther from its weight, in parts of it.
+SHARES, SHARE_ERROR = 1_000, 0.02
 #: Rows of a source that one window partition numbers, about, and such partitions of a source at most.
 BUCKET_ROWS, MAX_BUCKETS = 256, 50_000
 #: Slots of all phases' periods up to which the schedule is broadcast: 16 MB.
@@ -30,26 +35,30 @@ BROADCAST_SLOTS = 2_000_000
 MAX_SOURCES = 10_000
 
 
-def period(shares: Mapping[str, int]) -> list[str]:
-    """One period: the source of each slot, by earliest deadline first."""
+def period(shares: Mapping[str, int], left: Mapping[str, int] | None = None) -> list[str]:
+    """One period: the source of each slot, by earliest deadline first. It ends early with the slot in which a source gets the last of its ``left`` blocks."""
     total = sum(shares.values())
     if any(v < 1 for v in shares.values()):
         raise ValueError("shares must be at least 1")
     names = sorted(shares)
-    done = dict.fromkeys(names, 0)
-    waiting = [(0, s) for s in names]  # (release, source)
-    ready: list[tuple[int, Fraction, str]] = []
-    heapq.heapify(waiting)
+    ranked = sorted(names, key=lambda s: (-shares[s], s))
+    share = [shares[s] for s in ranked]
+    last = [left[s] if left else shares[s] + 1 for s in ranked]
+    done = [0] * len(ranked)
+    waiting = [(0, i) for i in range(len(ranked))]  # (release, source)
+    ready: list[tuple[int, int]] = []  # (deadline, source)
     slots = []
     for t in range(total):
         while waiting and waiting[0][0] <= t:
-            _, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-((done[s] + 1) * -total // shares[s]), Fraction(total, shares[s]), s))
-        _, _, s = heapq.heappop(ready)
-        slots.append(s)
-        done[s] += 1
-        if done[s] < shares[s]:
-            heapq.heappush(waiting, (done[s] * total // shares[s], s))
+            _, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-((done[i] + 1) * -total // share[i]), i))
+        _, i = heapq.heappop(ready)
+        slots.append(ranked[i])
+        done[i] += 1
+        if done[i] == last[i]:
+            break
+        if done[i] < share[i]:
+            heapq.heappush(waiting, (done[i] * total // share[i], i))
     return slots
 
 
@@ -62,17 +71,17 @@ def phases(blocks: Mapping[str, int], shares: Mapping[str, int]) -> list[dict]:
     given = dict.fromkeys(left, 0)
     out, start = [], 0
     while left:
-        slots = period({s: shares[s] for s in left})
+        slots = period({s: shares[s] for s in left}, left)
         size = len(slots)
-        at: dict[str, list[int]] = {s: [] for s in left}
+        at: dict[str, array] = {}
         for i, s in enumerate(slots):
-            at[s].append(i)
-        own = {s: len(at[s]) for s in left}
-        last = {s: (n - 1) // own[s] * size + at[s][(n - 1) % own[s]] for s, n in left.items()}
+            at.setdefault(s, array("q")).append(i)
+        own = {s: len(x) for s, x in at.items()}
+        last = {s: (left[s] - 1) // own[s] * size + at[s][(left[s] - 1) % own[s]] for s in at}
         length = min(last.values()) + 1
         whole, rest = divmod(length, size)
-        took = {s: whole * own[s] + sum(x < rest for x in at[s]) for s in left}
-        out.append({"start": start, "length": length, "size": size, "at": at, "before": {s: given[s] for s in left}, "took": took})
+        took = {s: whole * own[s] + bisect_left(at[s], rest) for s in at}
+        out.append({"start": start, "length": length, "size": size, "at": at, "before": {s: given[s] for s in at}, "took": took})
         start += length
         for s, n in took.items():
             given[s] += n
@@ -82,10 +91,23 @@ def phases(blocks: Mapping[str, int], shares: Mapping[str, int]) -> list[dict]:
     return out
 
 
-def shares_by_count(rows: Mapping[str, int], alpha: float, total: int = SHARES) -> dict[str, int]:
+def share_scale(rows: Mapping[str, int], alpha: float) -> int:
+    """The multiple of ``SHARES`` by which all shares are within ``SHARE_ERROR`` of their weights."""
+    powers = [n**alpha for n in rows.values()]
+    whole = sum(powers)
+    scale = 1
+    if min(powers) * SHARES < whole:
+        scale = math.ceil(whole / (min(powers) * SHARES))
+    while any(abs(max(1, round(x)) - x) > SHARE_ERROR * x for x in (SHARES * scale * p / whole for p in powers)):
+        scale *= 2
+    return scale
+
+
+def shares_by_count(rows: Mapping[str, int], alpha: float, total: int | None = None) -> dict[str, int]:
     """Shares as rows ** alpha: 1 keeps proportions, 0 makes all sources equal."""
     powers = {s: n**alpha for s, n in rows.items()}
     whole = sum(powers.values())
+    total = total or SHARES * share_scale(rows, alpha)
     return {s: max(1, round(total * p / whole)) for s, p in powers.items()}
 
 
@@ -111,7 +133,9 @@ def mix_sources(docs: DataFrame, *, shares: Mapping[str, int] | None = None, alp
     if not counts:
         return base.drop(source).select("*", *[F.lit(None).cast("long").alias(c) for c in added])
     given = dict(shares or {})
-    given |= {s: n for s, n in shares_by_count(counts, alpha).items() if s not in given}
+    if any(s not in given for s in counts):  # given shares are of SHARES
+        scale = share_scale(counts, alpha)
+        given = {s: n for s, n in shares_by_count(counts, alpha, SHARES * scale).items() if s not in given} | {s: n * scale for s, n in given.items()}
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     plan = phases(blocks, given)
 
@@ -125,9 +149,10 @@ def mix_sources(docs: DataFrame, *, shares: Mapping[str, int] | None = None, alp
 
     spark = docs.sparkSession
     rows = [
-        (s, ph["before"][s], ph["before"][s] + ph["took"][s], k, ph["start"], ph["size"], len(ph["at"][s]), ph["at"][s])
+        (s, ph["before"][s], ph["before"][s] + ph["took"][s], k, ph["start"], ph["size"], len(ph["at"][s]), ph["at"][s].tolist())
         for k, ph in enumerate(plan)
         for s in ph["at"]
+        if ph["took"][s]
     ]
     own = _literal(spark, rows).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "phase", "base", "size", "own", "spots"))).alias(phased)).withColumnRenamed("s", key)
     if sum(ph["size"] for ph in plan) <= BROADCAST_SLOTS:

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parquill.llm.mixing import mix_sources, period, phases, shares_by_count
+from parquill.llm.mixing import SHARE_ERROR, mix_sources, period, phases, shares_by_count
 
 
 @settings(max_examples=200, deadline=None)
@@ -65,6 +65,21 @@ def test_rows_meet_the_schedule(spark):
     assert max(Counter((r["mix_slot"], r["mix_row"]) for r in got).values()) == 1
 
 
+def test_long_tails_keep_their_weights():
+    rows = {"large": 10_000_000} | {f"s{i:04}": 10_000 for i in range(2000)}
+    for counts in (rows, {"large": 10_000_000} | {f"s{i:04}": 5_000 + 7 * i for i in range(2000)}):
+        shares, powers = shares_by_count(counts, 0.7), {s: n**0.7 for s, n in counts.items()}
+        total, whole = sum(shares.values()), sum(powers.values())
+        assert all(abs(shares[s] / total / (p / whole) - 1) <= 2 * SHARE_ERROR for s, p in powers.items())
+    shares = shares_by_count(rows, 0.7)
+    blocks = {s: -(-n // 1600) for s, n in rows.items()}
+    plan = phases(blocks, shares)
+    assert {s: sum(ph["took"].get(s, 0) for ph in plan) for s in blocks} == blocks
+    first = plan[0]
+    assert abs(first["took"]["large"] / first["length"] - 0.059) < 0.002
+    assert sum(ph["length"] for ph in plan) == sum(blocks.values()) and sum(ph["size"] for ph in plan) <= sum(blocks.values())
+
+
 def test_edges(spark):
     empty = mix_sources(spark.createDataFrame([], "doc_id long, source string"))
     assert empty.count() == 0 and empty.columns == ["doc_id", "source", "mix_phase", "mix_block", "mix_slot", "mix_row"]
