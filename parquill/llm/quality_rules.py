@@ -33,8 +33,8 @@ ODD_WORDS = 2.2
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 _EDGE = ".,;:!?\"'()[]{}"
-#: A common word is more than one in so many; words of a part in which such words are named; candidates at most.
-COMMON_SHARE, PART_WORDS, CANDIDATES = 1_000, 2_000_000, 20_000
+#: A common word is more than one in so many; a part names words that are more than one in so many; words of a part.
+COMMON_SHARE, NAMED_SHARE, PART_WORDS = 1_000, 10_000, 2_000_000
 
 
 def class_of(c: str) -> int:
@@ -117,11 +117,15 @@ def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int],
     """By language: class histogram, common words' places, and their histogram with the rest last.
 
     ``texts`` has ``lang`` and ``text``. '' is the reference of all languages together. Common words are
-    those ``COMMON_WORDS`` most frequent ones that are more than one word in ``COMMON_SHARE``. Such a word
-    is as frequent in at least one part of any division of the corpus, so tasks first name the words
-    that frequent in their part, and then all documents are counted for those alone.
+    those ``COMMON_WORDS`` most frequent ones that are more than one word in ``COMMON_SHARE``.
+
+    Tasks first name words with their counts in a part, but for those of one in ``NAMED_SHARE`` or less of
+    a language's words there. So a word's named counts miss one in ``NAMED_SHARE`` of the language's words
+    at most, whatever the parts are: words that may be common by this bound are candidates, a thousand or
+    so of a language at most, and all documents are counted for them. Languages beyond the ``LANGUAGES``
+    largest have no reference of their own, but count in that of all.
     """
-    named = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("share", T.DoubleType())])
+    named = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
@@ -133,10 +137,10 @@ def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int],
                 total, by_core = words.total(), Counter()
                 for w, n in words.items():
                     by_core[core(w)] += n
-                rows.append((lang, None, total, 0.0))
-                rows += [(lang, w, n, n / total) for w, n in by_core.items() if w and n * COMMON_SHARE > total]
+                rows.append((lang, None, total))
+                rows += [(lang, w, n) for w, n in by_core.items() if w and n * NAMED_SHARE > total]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.float64()))], names=named.names)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=named.names)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
@@ -149,46 +153,62 @@ def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int],
                 size = 0
         yield out()
 
-    found = checkpoint(texts.mapInArrow(name, named).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.max("share").alias("share")))
-    all_words = {r["lang"]: r["n"] for r in found.filter("word is null").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    top = found.filter("word is not null").filter(F.col("lang").isin(*all_words)).orderBy(F.desc("share"), "lang", "word").limit(CANDIDATES).collect()
-    asked = {lang: [r["word"] for r in top if r["lang"] == lang] for lang in all_words}
-    union = {w: i for i, w in enumerate(sorted({r["word"] for r in top}))}
+    found = checkpoint(texts.mapInArrow(name, named).groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    totals, words = found.filter("word is null").select("lang", F.col("n").alias("total")), found.filter("word is not null")
+    largest = totals.filter("lang is not null").orderBy(F.desc("total"), "lang").limit(LANGUAGES)
+    all_words = {r["lang"]: r["total"] for r in largest.collect()}
+    every = totals.agg(F.sum("total")).first()[0] or 0
+    if not every:
+        return {}
+    # The least named count of a common word: one in COMMON_SHARE without one in NAMED_SHARE.
+    least = NAMED_SHARE // COMMON_SHARE - 1
+    by_lang = words.join(F.broadcast(largest), "lang").filter(F.col("n") * NAMED_SHARE > F.col("total") * least).select("lang", "word", "n")
+    by_all = words.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") * NAMED_SHARE > every * least)
+    asked = {lang: [] for lang in all_words}
+    for r in by_lang.collect():  # NAMED_SHARE / least for each language at most
+        asked[r["lang"]].append((r["n"], r["word"]))
+    asked = {lang: _may_lead(x, all_words[lang]) for lang, x in asked.items()}
+    asked_all = _may_lead([(r["n"], r["word"]) for r in by_all.collect()], every)
+    union = {w: i for i, w in enumerate(sorted({*asked_all, *(w for x in asked.values() for w in x)}))}
     width = len(union)
     counted = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = Cache(lambda w: union.get(core(w), width))
-        held = {lang: np.zeros(width + 1 + len(CLASSES), np.int64) for lang in all_words}
+        held: dict[str | None, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
                 words = text.split()
-                if words and lang in held:
+                if words:
+                    lang = lang if lang in all_words else None
+                    if lang not in held:
+                        held[lang] = np.zeros(width + 1 + len(CLASSES), np.int64)
                     held[lang][: width + 1] += np.bincount(np.fromiter(map(place.__getitem__, words), np.int64, len(words)), minlength=width + 1)
                     held[lang][width + 1 :] += class_histogram(text)
-        rows = [(lang, int(i), int(n[i])) for lang, n in held.items() for i in [*(union[w] for w in asked[lang]), *range(width, len(n))]]
+        rows = [(lang, int(i), int(n[i])) for lang, n in held.items() for i in [*{union[w] for w in (*asked.get(lang, ()), *asked_all)}, *range(width, len(n))]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=counted.names)
 
-    sums: dict[str, dict[int, int]] = {lang: {} for lang in all_words}
-    for r in texts.mapInArrow(count, counted).groupBy("lang", "at").agg(F.sum("n").alias("n")).collect():  # CANDIDATES and some for each language at most
-        sums[r["lang"]][r["at"]] = r["n"]
-    out = {}
-    for lang, total in all_words.items():
-        n = sums[lang]
-        best = sorted((-n[union[w]], w) for w in asked[lang] if n[union[w]] * COMMON_SHARE > total)[:COMMON_WORDS]
+    sums: dict[str | None, Counter] = {}
+    for r in texts.mapInArrow(count, counted).groupBy("lang", "at").agg(F.sum("n").alias("n")).collect():  # candidates of each language and of all
+        sums.setdefault(r["lang"], Counter())[r["at"]] = r["n"]
+
+    def reference(n: Counter, words: list[str], total: int) -> tuple[np.ndarray, dict[str, int], np.ndarray]:
+        best = sorted((-n[union[w]], w) for w in words if n[union[w]] * COMMON_SHARE > total)[:COMMON_WORDS]
         common = [-k for k, _ in best]
-        out[lang] = (np.array([n[width + 1 + i] for i in range(len(CLASSES))], float), {w: i for i, (_, w) in enumerate(best)}, np.array([*common, total - sum(common)], float))
-    if out:
-        merged = Counter()
-        for _, words, counts in list(out.values()):
-            for w, i in words.items():
-                merged[w] += counts[i]
-        first = dict(merged.most_common(COMMON_WORDS))
-        whole = sum(c.sum() for _, _, c in out.values())
-        out[""] = (sum(h for h, _, _ in list(out.values())), {w: i for i, w in enumerate(first)}, np.array([*first.values(), whole - sum(first.values())], float))
+        return np.array([n[width + 1 + i] for i in range(len(CLASSES))], float), {w: i for i, (_, w) in enumerate(best)}, np.array([*common, total - sum(common)], float)
+
+    out = {lang: reference(sums[lang], asked[lang], total) for lang, total in all_words.items()}
+    out[""] = reference(sum(sums.values(), Counter()), asked_all, every)
     return out
 
 
+def _may_lead(named: list[tuple[int, str]], total: int) -> list[str]:
+    """Words that may be among the ``COMMON_WORDS`` most frequent, by named counts that may miss one in ``NAMED_SHARE``."""
+    order = sorted((n for n, _ in named), reverse=True)
+    least = order[COMMON_WORDS - 1] if len(order) >= COMMON_WORDS else 0
+    return [w for n, w in named if n * NAMED_SHARE + total >= least * NAMED_SHARE]
+
+
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
     """Judges every whole text: base counts, base verdict, both distances, and ``kept``.
 

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from parquill.llm import quality_rules as quality_rules_module
 from parquill.llm.quality_rules import CLASSES, COMMON_WORDS, base_counts, class_histogram, core, divergence, limits, quality_rules, references
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,6 +65,23 @@ def test_references_count_all_documents(spark):
         assert histogram.sum() == sum(len(w) for t in own for w in t.split())
 
 
+def test_rare_languages_take_no_word_from_large_ones(spark, monkeypatch):
+    draw = random.Random(4)
+    common = [f"common{i}" for i in range(70)]
+    big = [" ".join(draw.choice(common) if draw.random() < 0.4 else f"w{draw.randrange(10**6)}" for _ in range(500)) for _ in range(60)]
+    rare = [(f"r{i % 12}", " ".join(f"rare{i}x{k}" for k in range(250)) + " allthe" * 250) for i in range(120)]
+    rows = [("en", t) for t in big] + rare
+    monkeypatch.setattr(quality_rules_module, "LANGUAGES", 5)
+    known = references(spark.createDataFrame(rows, "lang string, text string").repartition(16))
+    assert len(known) == 6
+    for lang in known:
+        words = Counter(w for x, t in rows if not lang or x == lang for w in t.split())
+        want = sorted(((-n, w) for w, n in words.items() if n * 1000 > words.total()))[:COMMON_WORDS]
+        _, places, counts = known[lang]
+        assert [*places] == [w for _, w in want] and counts[:-1].tolist() == [-n for n, _ in want] and counts.sum() == words.total()
+    assert known[""][0].sum() == sum(len(w) for _, t in rows for w in t.split())
+
+
 def test_edges(spark):
     rows = [(1, None, "en", 1, "x"), (2, "", None, 1, "x"), (None, "a " * 60, None, 1, "x"), (3, "w" * 100_000, "en", 1, "x"), (3, "w" * 100_000, "en", 1, "x"), (4, " ".join(f"word{i}" for i in range(60)), "", 1, "x")]
     got = quality_rules(spark.createDataFrame(rows, KIND)).collect()
