@@ -1,23 +1,25 @@
-"""N-gram Jaccard join: documents whose shingle sets are similar, resolved by signature trees.
+"""N-gram Jaccard join: documents whose shingle sets are similar, found exactly by signature trees.
 
 1. Each text's set of word shingles is hashed; documents with equal sets are one class, whose smallest
    id stands for it, so copies are never compared.
-2. Min-hash bands bring classes together that may be similar. Bands and rows are chosen so that a pair
-   at the threshold misses all bands with a chance below ``MISS``, and more similar pairs far less often.
-   A band's members are linked to its smallest one only, which gives groups of candidates without pairs.
-3. A group's members, in blocks of bounded size, are put into signature trees: leaves hold members of
-   like size, nodes the OR of their members' token bitmaps and the range of their sizes. Two trees are
-   walked together; a pair of nodes is skipped if the bits and sizes they have in common cannot reach
-   the threshold, or if all their members are known to be connected. Pairs of leaves are compared
-   exactly, on the shingle sets.
-4. Blocks of one group share the group's smallest member. Members that are not connected to it inside
-   their block are then compared with all other blocks, so no link is lost by the blocks.
+2. Sets that link differ in few shingles, at most d by their sizes. So if all shingles are dealt to d + 1
+   parts by their hash, some part holds the same shingles in both sets: that part's hash is a key that
+   both have. Keys are made for each range of d that a set's possible partners have, so nothing hangs on
+   chance (see ``Parts``). A key's members are tied to its smallest; copies within a batch are tied there
+   first, so a frequent key is a few rows only. Nothing is closed transitively.
+3. A head and blocks of its members are compared exactly, and what links is connected.
+4. Keys whose members are still apart are resolved by signature trees: leaves hold members of like size,
+   nodes the OR of their members' token bitmaps and the range of their sizes. Two trees are walked
+   together; a pair of nodes is skipped if the bits and sizes they have in common cannot reach the
+   threshold, or if all their members are connected already. The first walk has bitmaps only and marks
+   members with a possible partner; their sets are then fetched, and walked exactly.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +32,19 @@ from parquill.llm.arrow import mix, raw
 from parquill.llm.components import components
 from parquill.runtime import checkpoint
 
-#: Chance that a pair just at the threshold shares no band.
-MISS = 1e-9
-#: Min-hashes of a text, at most.
-HASHES = 420
-#: Members of one block, about.
-BLOCK = 192
-#: Bits of a signature, and members of a leaf.
-BITS, LEAF = 1024, 16
-#: Ids of candidates up to which the scan for their texts is filtered by broadcast: about 50 MB.
-BROADCAST_IDS = 1_000_000
+#: Members of one block: with their sets, and with their bitmaps only.
+BLOCK, MAP_BLOCK = 192, 1024
+#: Members of a leaf, and children of a node.
+LEAF, FAN = 16, 4
+#: Bits of a signature for each shingle of the largest set, about, and at most in all.
+SET_BITS, MOST_BITS = 2, 1 << 16
+#: Ratio of the ranges of differences that share keys, ways to deal shingles to parts, and keys made at once.
+RANGE, WAYS, MANY_KEYS = 1.5, 6, 400_000
+#: Ids of candidates up to which the scan for their texts is filtered by broadcast: about 10 MB.
+BROADCAST_IDS = 200_000
+
+PAIRS = T.StructType([T.StructField(c, T.LongType()) for c in "ab"])
+EDGES = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "a", "b")])
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -58,74 +63,117 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(similarity: float) -> tuple[int, int]:
-    """Number of bands, and min-hashes of each: the most selective with at most ``HASHES`` in all."""
-    best = (1, 1)
-    for r in range(1, 13):
-        hit = similarity**r
-        b = 1 if hit >= 1 else math.ceil(math.log(MISS) / math.log1p(-hit))
-        if b * r <= HASHES:
-            best = (b, r)
-    return best
+class Parts:
+    """Keys such that any two different sets that link have one in common.
 
+    Sets of r and s shingles link if they share at least percent / (100 + percent) of r + s, so they differ
+    in d = (r + s) * (100 - percent) // (100 + percent) shingles at most. A range of d up to ``top`` has
+    top + 1 + spare parts. Two sets that differ in ``top`` shingles at most have spare + 1 parts in common
+    at least, and one that is not empty in both if either set has at most ``spare`` empty ones. A set that
+    has more is also dealt in a second way, and so on, so the first way in which not both sets have too many
+    gives a common key; after the last way empty parts are keys as well.
+    """
 
-class MinHash:
-    def __init__(self, n_bands: int, rows: int) -> None:
-        self.bands, self.rows = n_bands, rows
-        seeds = mix(np.arange(1, 2 * n_bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        self.times, self.plus = (seeds[: n_bands * rows] | np.uint64(1)).astype(np.uint32), seeds[n_bands * rows :].astype(np.uint32)
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.ranges = cache(self._ranges)
+        self.parts = cache(self._parts)
+
+    def most(self, total: int) -> int:
+        """Shingles in which two sets of ``total`` together differ at most if they link."""
+        return total * (100 - self.percent) // (100 + self.percent)
+
+    def _ranges(self, size: int) -> list[int]:
+        """The ranges, by their top, of a set's links with other sets than its own."""
+        least, most = -(-size * self.percent // 100), size * 100 // self.percent
+        low, high = max(1, self.most(size + least)), self.most(size + most)
+        tops = [1]
+        while tops[-1] < high:
+            tops.append(math.ceil(tops[-1] * RANGE))
+        return [t for t in tops if t >= low] if high else []
+
+    def _parts(self, top: int) -> tuple[int, int]:
+        """Parts of a range, and how many of them may be empty."""
+        size = (top / RANGE + 1) * (100 + self.percent) / max(1, 100 - self.percent) / 2
+        spare = max(0, math.ceil(3 * (top + 1) * math.exp(-size / (top + 1)) - 0.25))
+        return top + 1 + spare, spare
 
     def keys(self, of: np.ndarray) -> np.ndarray:
-        """One 64-bit key a band."""
-        low = np.full(len(self.times), 0xFFFFFFFF, np.uint32)
-        own = (of >> np.uint64(32)).astype(np.uint32)
-        other = of.astype(np.uint32)
-        for k in range(0, len(of), 2048):
-            x = own[k : k + 2048, None] * self.times
-            x ^= x >> np.uint32(15)
-            x += other[k : k + 2048, None] ^ self.plus
-            x *= np.uint32(0x85EBCA6B)
-            x ^= x >> np.uint32(13)
-            low = np.minimum(low, x.min(0))
-        out = np.arange(1, self.bands + 1, dtype=np.uint64)
-        for part in low.reshape(self.bands, self.rows).T.astype(np.uint64):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
-        return out
+        """The distinct 64-bit keys of a set of hashes."""
+        out = []
+        for top in self.ranges(len(of)):
+            n, spare = self.parts(top)
+            for way in range(WAYS):
+                mixed = mix(of + np.uint64((top * WAYS + way + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+                part = ((mixed >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+                held = np.bincount(part, minlength=n)
+                # Sums of 32-bit halves are exact in double precision.
+                low = np.bincount(part, (mixed & np.uint64(0xFFFFFFFF)).astype(float), n).astype(np.uint64)
+                high = np.bincount(part, (mix(mixed) & np.uint64(0xFFFFFFFF)).astype(float), n).astype(np.uint64)
+                name = np.arange(n, dtype=np.uint64) + np.uint64((top * WAYS + way) << 32)
+                key = mix(mix(low * np.uint64(0x9E3779B97F4A7C15) + high) + mix(name) + held.astype(np.uint64))
+                full = held > 0
+                enough = int(full.sum()) >= n - spare
+                out.append(key[full] if enough or way < WAYS - 1 else key)
+                if enough:
+                    break
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def bits_of(size: int) -> int:
+    """Bits of a signature where the largest set has this size: a power of two."""
+    return min(MOST_BITS, max(64, 1 << (SET_BITS * size - 1).bit_length()))
+
+
+def bitmap(of: np.ndarray, bits: int) -> np.ndarray:
+    """A set's token bitmap."""
+    out = np.zeros(bits, bool)
+    out[(of % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def fold(words: np.ndarray, bits: int) -> np.ndarray:
+    """The bitmap of the same tokens with fewer bits."""
+    return np.bitwise_or.reduce(words.reshape(-1, bits // 64), 0)
 
 
 class Tree:
-    """A signature tree over shingle sets, members sorted by size."""
-
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray]) -> None:
-        order = np.argsort([len(s) for s in sets], kind="stable")
-        self.ids, self.sets = ids[order], [sets[i] for i in order]
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        self.maps = np.zeros((len(sets), BITS // 64), np.uint64)
-        for i, s in enumerate(self.sets):
-            bits = np.zeros(BITS, bool)
-            bits[(s % np.uint64(BITS)).astype(np.int64)] = True
-            self.maps[i] = np.packbits(bits, bitorder="little").view(np.uint64)
-        # How many of a set's shingles each bit stands for at most: the excess of size over bits bounds collisions.
+    """A signature tree over sets given by their sizes and bitmaps, and by their hashes where known."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, maps: np.ndarray, sets: list[np.ndarray] | None = None) -> None:
+        order = np.argsort(sizes, kind="stable")
+        self.order, self.ids, self.sizes, self.maps = order, ids[order], sizes[order], maps[order]
+        self.sets = [sets[i] for i in order] if sets is not None else None
+        # How many shingles more than bits a set has bounds what collisions hide.
         self.excess = self.sizes - np.bitwise_count(self.maps).sum(1).astype(np.int64)
-        self.levels: list[list[tuple[int, int]]] = [[(i, min(len(sets), i + LEAF)) for i in range(0, len(sets), LEAF)]]
+        count = len(ids)
+        self.levels: list[list[tuple[int, int]]] = [[(i, min(count, i + LEAF)) for i in range(0, count, LEAF)]]
         while len(self.levels[-1]) > 1:
             below = self.levels[-1]
-            self.levels.append([(below[i][0], below[min(len(below), i + 4) - 1][1]) for i in range(0, len(below), 4)])
-        self.nodes = [{"span": s, "map": np.bitwise_or.reduce(self.maps[s[0] : s[1]], 0), "low": int(self.sizes[s[0]]), "high": int(self.sizes[s[1] - 1]), "excess": int(self.excess[s[0] : s[1]].max())} for level in self.levels for s in level]
-        self.offset = np.concatenate([[0], np.cumsum([len(x) for x in self.levels])]).astype(int)
+            self.levels.append([(below[i][0], below[min(len(below), i + FAN) - 1][1]) for i in range(0, len(below), FAN)])
+        self.nodes = [[self._node(*span) for span in level] for level in self.levels]
 
-    def children(self, level: int, i: int) -> list[tuple[int, int]]:
-        return [(level - 1, c) for c in range(4 * i, min(4 * i + 4, len(self.levels[level - 1])))]
+    def _node(self, a: int, b: int) -> dict:
+        return {"span": (a, b), "map": np.bitwise_or.reduce(self.maps[a:b], 0), "low": int(self.sizes[a]), "high": int(self.sizes[b - 1]), "excess": int(self.excess[a:b].max())}
+
+    @classmethod
+    def of_sets(cls, ids: np.ndarray, sets: list[np.ndarray], bits: int = 0) -> Tree:
+        sizes = np.array([len(s) for s in sets], np.int64)
+        bits = bits or bits_of(int(sizes.max(initial=1)))
+        maps = np.stack([bitmap(s, bits) for s in sets]) if sets else np.zeros((0, bits // 64), np.uint64)
+        return cls(ids, sizes, maps, sets)
 
-    def node(self, level: int, i: int) -> dict:
-        return self.nodes[self.offset[level] + i]
+    def children(self, level: int, i: int) -> list[tuple[int, int]]:
+        return [(level - 1, c) for c in range(FAN * i, min(FAN * i + FAN, len(self.levels[level - 1])))]
 
 
 class Union:
     """Union of integers, smallest as root."""
 
-    def __init__(self) -> None:
+    def __init__(self, known: dict[int, int] | None = None) -> None:
         self.up: dict[int, int] = {}
+        for x, y in (known or {}).items():
+            self.join(x, y)
 
     def root(self, x: int) -> int:
         while (y := self.up.setdefault(x, x)) != x:
@@ -138,11 +186,8 @@ class Union:
         return a != b
 
 
-def walk(x: Tree, y: Tree, percent: int, union: Union) -> Iterator[tuple[int, int]]:
-    """Links between members of two trees (or of one with itself) that connect what ``union`` has apart.
-
-    A link is 100 * intersection >= percent * union of the sets.
-    """
+def leaf_pairs(x: Tree, y: Tree, percent: int, union: Union) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By dual traversal, pairs of leaves that may hold links between what ``union`` has apart: members' places in both trees, and which of their pairs may link."""
     if not len(x.ids) or not len(y.ids):
         return
     stack = [((len(x.levels) - 1, 0), (len(y.levels) - 1, 0))]
@@ -150,41 +195,55 @@ def walk(x: Tree, y: Tree, percent: int, union: Union) -> Iterator[tuple[int, in
         a, b = stack.pop()
         if x is y and a[0] == b[0] and a[1] > b[1]:
             continue
-        p, q = x.node(*a), y.node(*b)
-        # Members have sizes s and t: intersection >= percent/(100+percent) * (s+t), at most the smaller size and
-        # at most the common bits and the collisions.
-        least = max(p["low"], q["low"])
-        if 100 * min(p["high"], q["high"]) < percent * least:
+        p, q = x.nodes[a[0]][a[1]], y.nodes[b[0]][b[1]]
+        # Members of sizes s and t link if they share percent / (100 + percent) of s + t; they share the
+        # smaller size at most, and at most the common bits and what collisions hide.
+        if 100 * min(p["high"], q["high"]) < percent * max(p["low"], q["low"]):
             continue
         common = int(np.bitwise_count(p["map"] & q["map"]).sum()) + min(p["excess"], q["excess"])
         if (100 + percent) * common < percent * (p["low"] + q["low"]):
             continue
-        if a[0] == 0 and b[0] == 0:
-            yield from _leaves(x, p["span"], y, q["span"], percent, union)
-        elif a[0] >= b[0]:
-            stack += [(c, b) for c in x.children(*a)]
-        else:
-            stack += [(a, c) for c in y.children(*b)]
+        if a[0] or b[0]:
+            stack += [(c, b) for c in x.children(*a)] if a[0] >= b[0] else [(a, c) for c in y.children(*b)]
+            continue
+        left, right = np.arange(*p["span"]), np.arange(*q["span"])
+        if len({union.root(i) for i in [*x.ids[left].tolist(), *y.ids[right].tolist()]}) == 1:
+            continue
+        size, other = x.sizes[left][:, None], y.sizes[right][None, :]
+        shared = np.bitwise_count(x.maps[left][:, None, :] & y.maps[right][None, :, :]).sum(2).astype(np.int64)
+        shared += np.minimum(x.excess[left][:, None], y.excess[right][None, :])
+        most = np.minimum(np.minimum(size, other), shared)
+        may = (100 + percent) * most >= percent * (size + other)
+        if may.any():
+            yield left, right, may
 
 
-def _leaves(x: Tree, s: tuple[int, int], y: Tree, t: tuple[int, int], percent: int, union: Union) -> Iterator[tuple[int, int]]:
-    if len({union.root(i) for i in [*x.ids[s[0] : s[1]].tolist(), *y.ids[t[0] : t[1]].tolist()]}) == 1:
-        return
-    left, right = np.arange(*s), np.arange(*t)
-    size = x.sizes[left][:, None] + y.sizes[right][None, :]
-    common = np.bitwise_count(x.maps[left][:, None, :] & y.maps[right][None, :, :]).sum(2).astype(np.int64) + np.minimum(x.excess[left][:, None], y.excess[right][None, :])
-    least = np.maximum(x.sizes[left][:, None], y.sizes[right][None, :])
-    most = np.minimum(np.minimum(x.sizes[left][:, None], y.sizes[right][None, :]), common)
-    may = ((100 + percent) * most >= percent * size) & (100 * most >= percent * least)
-    for i, j in zip(*np.nonzero(may), strict=True):
-        a, b = int(x.ids[s[0] + i]), int(y.ids[t[0] + j])
-        if a == b or union.root(a) == union.root(b):
-            continue
-        u, v = x.sets[s[0] + i], y.sets[t[0] + j]
-        both = len(np.intersect1d(u, v, assume_unique=True))
-        if 100 * both >= percent * (len(u) + len(v) - both):
-            union.join(a, b)
-            yield a, b
+def walk(x: Tree, y: Tree, percent: int, union: Union) -> Iterator[tuple[int, int]]:
+    """Links between members of two trees (or of one with itself) that connect what ``union`` has apart.
+
+    A link is 100 * intersection >= percent * union of the sets.
+    """
+    for left, right, may in leaf_pairs(x, y, percent, union):
+        for i, j in zip(*np.nonzero(may), strict=True):
+            a, b = int(x.ids[left[i]]), int(y.ids[right[j]])
+            if a == b or union.root(a) == union.root(b):
+                continue
+            u, v = x.sets[left[i]], y.sets[right[j]]
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            if 100 * both >= percent * (len(u) + len(v) - both):
+                union.join(a, b)
+                yield a, b
+
+
+def possible(x: Tree, y: Tree, percent: int, union: Union) -> tuple[np.ndarray, np.ndarray]:
+    """Which members of each tree, in the order they were given, may link with one of the other that ``union`` has apart from them."""
+    marks = np.zeros(len(x.ids), bool), np.zeros(len(y.ids), bool)
+    roots = [np.array([union.root(int(i)) for i in t.ids], np.int64) for t in (x, y)]
+    for left, right, may in leaf_pairs(x, y, percent, union):
+        may = may & (roots[0][left][:, None] != roots[1][right][None, :])
+        marks[0][x.order[left[may.any(1)]]] = True
+        marks[1][y.order[right[may.any(0)]]] = True
+    return marks
 
 
 def link_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,148 +260,219 @@ def link_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     """
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent is from 1 to 100, width at least 1")
-    hasher_of = bands(percent / 100)
-    fields = [T.StructField(c, T.LongType()) for c in ("id", "n", "h1", "h2")]
-    made = T.StructType([*fields, T.StructField("keys", T.ArrayType(T.LongType()))])
-
-    def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinHash(*hasher_of)
-        for part in parts:
-            ids, n, high, low, keys = part.column(0), [], [], [], []
-            for text in raw(part.column(1)):
-                of = shingles(text, width)
-                digest = xxhash.xxh3_128_intdigest(of.tobytes())
-                n.append(len(of))
-                high.append((digest >> 64) - (1 << 63))
-                low.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                keys.append(hasher.keys(of).view(np.int64) if len(of) else None)
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in (n, high, low)], pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "h1", "h2", "keys"])
-
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = checkpoint(texts.mapInArrow(sign, made))
+    signed = checkpoint(_digests(texts, width))
     alive = signed.filter("n > 0 and id is not null")
-    classes = alive.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.first("keys").alias("keys"), F.count("*").alias("members"))
-    classes = checkpoint(classes)
-
-    stars = classes.select(F.explode("keys").alias("key"), F.col("class_id").alias("id")).repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, T.StructType([T.StructField(c, T.LongType()) for c in "ab"]))
-    groups = checkpoint(components(_fewer(stars)))
-    links = _resolve(texts, groups, width, percent)
-
-    # Every class by itself, its copies, and the links between classes.
-    copies = classes.filter("members > 1").select("h1", "h2", "class_id")
+    classes = alive.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("members"))
+    copies = checkpoint(classes.filter("members > 1").select("h1", "h2", "class_id"))
     salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     rows = alive.select("id", "h1", "h2", F.expr("cast(pmod(xxhash64(id, 3), 16) as int)").alias("salt"))
     classed = rows.join(salted, ["h1", "h2", "salt"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    classed = checkpoint(classed)
-    ids = checkpoint(classed.groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other")))
-    # An id with different texts is one node, tied to all their classes.
-    several = ids.filter("class_id <> other").select(F.col("id").alias("a"))
-    tie = several.join(classed, several["a"] == classed["id"]).select("a", F.col("class_id").alias("b"))
-    joined = components(links.union(tie)).select(F.col("node").alias("class_id"), "component")
-    final = ids.join(joined, "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    ids = checkpoint(classed.groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other"), F.collect_set("class_id").alias("all")).withColumn("all", F.when(F.col("class_id") < F.col("other"), F.col("all"))))
+    # An id with different texts is one node, tied to all their classes; other ids stand for their class.
+    tie = ids.filter("class_id <> other").select(F.col("id").alias("a"), F.explode("all").alias("b"))
+    stand = ids.filter("class_id = other and class_id <> id").select("id", F.col("class_id").alias("to"))
+
+    edges = checkpoint(_standing(_common_keys(texts, width, percent), stand))
+    links = _with_heads(texts, edges.select("a", "b").distinct(), width, percent)
+    joined = components(links.union(tie))
+    left = _apart(edges, joined)
+    if left.limit(1).count():
+        links = links.union(_by_trees(texts, edges, left, joined, width, percent))
+        joined = components(links.union(tie))
+    final = ids.join(joined, ids["class_id"] == joined["node"], "left").select("id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return signed.select("id", "n").join(final, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _stars(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and id: each member with its key's first."""
-    last, first = None, 0
-    for part in parts:
-        if not len(part):
-            continue
-        key, ids = part.column(0).to_numpy(), part.column(1).to_numpy()
-        new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        heads = np.where(at >= 0, ids[at], first)
-        last, first = key[-1], heads[-1]
-        some = heads != ids
-        yield pa.RecordBatch.from_arrays([pa.array(heads[some]), pa.array(ids[some])], names=["a", "b"])
+def _digests(texts: DataFrame, width: int) -> DataFrame:
+    """Each row's number of shingles, and a 128-bit hash of its set."""
+    fields = ("id", "n", "h1", "h2")
 
+    def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sets = (shingles(text, width) for text in raw(part.column(1)))
+            made = [(len(of), xxhash.xxh3_128_digest(of.tobytes())) for of in sets]
+            halves = np.frombuffer(b"".join(d for _, d in made), np.int64).reshape(len(made), 2)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), *[pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)]], names=fields)
 
-def _fewer(stars: DataFrame) -> DataFrame:
-    """Edges that connect the same: each member with its smallest head, and its other heads with that one.
+    return texts.mapInArrow(sign, T.StructType([T.StructField(c, T.LongType()) for c in fields]))
 
-    A member has one head a band at most; members of one group have the same heads, so few edges are left.
-    """
-    heads = stars.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("heads"))
-    ends = F.concat(F.array("b"), F.slice("heads", 2, F.size("heads")))
-    return heads.select(F.get("heads", F.lit(0)).alias("a"), F.explode(ends).alias("b")).distinct()
-
-
-def _resolve(texts: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect the classes of each group as all its links would."""
-    spark = texts.sparkSession
-    total = groups.count()
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    blocked = groups.join(sizes, "component").select("node", F.col("component").alias("team"), F.expr(f"cast((size + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks"))
-    blocked = blocked.withColumn("block", F.when(F.col("node") == F.col("team"), -1).otherwise(F.expr("cast(pmod(xxhash64(node, 11), blocks) as int)")))
-    side = F.broadcast(blocked) if total <= BROADCAST_IDS else blocked
-    fetched = texts.join(side, texts["id"] == blocked["node"]).select("node", "team", "blocks", "block", "text")
-    # The group's smallest member is in every block.
-    dealt = checkpoint(fetched.select("node", "team", "blocks", F.explode(F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("block"), "text"))
-    pairs = T.StructType([T.StructField(c, T.LongType()) for c in "ab"])
 
-    def within(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(parts):
-            ids, sets = _sets(rows, width)
-            tree = Tree(ids, sets)
-            links = list(walk(tree, tree, percent, Union()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    keyed = dealt.select("team", "block", F.lit(0).alias("kind"), "node", "text")
-    first = checkpoint(keyed.repartition("team", "block").sortWithinPartitions("team", "block").mapInArrow(within, pairs))
-    if not dealt.filter("blocks > 1").limit(1).count():
-        return first
-    own = components(first)
-    large = dealt.filter("blocks > 1").join(own.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "team", "blocks", "block", "text", F.coalesce("component", "node").alias("component"))
-    # Not connected to the group's smallest: compared with the other blocks. Of two such, in blocks i < j, once.
-    apart = large.filter("component <> team").select("node", "team", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))).alias("block"), F.lit(1).alias("kind"), "text")
-    known = large.select("node", "team", "block", F.lit(0).alias("kind"), "text")
-
-    def across(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, union, at, held = None, Union(), None, []
-
-        def compare() -> pa.RecordBatch:
-            nonlocal held
-            ids, sets = _sets(held, width)
-            held = []
-            links = list(walk(Tree(ids, sets), tree, percent, union))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for (team, block, kind), rows in _runs(parts, by_kind=True, most=BLOCK):
-            if kind == 0:
-                if (team, block) != at:
-                    at, own_rows = (team, block), []
-                own_rows += rows
-                tree, union = None, Union()
-                continue
-            if (team, block) != at:
-                continue
-            if tree is None:
-                tree = Tree(*_sets(own_rows, width))
-            held = rows
-            yield compare()
+def _common_keys(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (key, a, b) that tie the ids of each key that more than one id has.
 
-    second = known.unionByName(apart).select("team", "block", "kind", "node", "text").repartition("team", "block").sortWithinPartitions("team", "block", "kind").mapInArrow(across, pairs)
-    return checkpoint(first.union(second))
+    Each batch ties a key's later ids to its first there, so only one row of a key and batch is dealt by
+    the key; the others are dealt by chance.
+    """
 
+    def tied(keys: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        ids = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
+        order = np.lexsort((ids, key))
+        key, ids = key[order].view(np.int64), ids[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        heads = ids[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        some = new | (heads != ids)
+        return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(heads[some]), pa.array(ids[some], mask=new[some])], names=["key", "a", "b"])
+
+    def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_set = Parts(percent)
+        for part in parts:
+            keys, owners, n = [], [], 0
+            for doc, text in zip(part.column(0).to_pylist(), raw(part.column(1)), strict=True):
+                own = of_set.keys(shingles(text, width))
+                if len(own):
+                    keys.append(own)
+                    owners.append(doc)
+                    n += len(own)
+                if n > MANY_KEYS:
+                    yield tied(keys, owners)
+                    keys, owners, n = [], [], 0
+            yield tied(keys, owners)
+
+    def heads(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key and id: ties each batch's first id of a key to the smallest one."""
+        last, first = None, 0
+        for part in parts:
+            own = part.filter(part.column(2).is_null())
+            yield part.filter(part.column(2).is_valid())
+            if not len(own):
+                continue
+            key, ids = own.column(0).to_numpy(), own.column(1).to_numpy()
+            new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            lead = np.where(at >= 0, ids[at], first)
+            last, first = key[-1], lead[-1]
+            some = lead != ids
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(lead[some]), pa.array(ids[some])], names=["key", "a", "b"])
+
+    rows = texts.filter("id is not null").mapInArrow(spread, EDGES)
+    dealt = rows.repartition(F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("key", "b")))
+    return dealt.sortWithinPartitions("key", "a").mapInArrow(heads, EDGES)
+
+
+def _standing(edges: DataFrame, stand: DataFrame) -> DataFrame:
+    """Edges between the ids that stand for others."""
+    for c in "ab":
+        to = stand.select(F.col("id").alias("_id"), F.col("to").alias("_to"))
+        edges = edges.join(to, F.col(c) == F.col("_id"), "left").withColumn(c, F.coalesce("_to", c)).drop("_id", "_to")
+    return edges.filter("a <> b").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _fetched(texts: DataFrame, cells: DataFrame) -> DataFrame:
+    """The cells' rows, by their column node, with their texts."""
+    few = cells.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(cells) if few else cells, F.col("id") == F.col("node")).select(*cells.columns, "text")
+
+
+def _with_heads(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among each head a and its members b, in blocks of members that share the head."""
+    pairs = checkpoint(pairs)
+    large = checkpoint(pairs.groupBy("a").count().filter(F.col("count") > BLOCK).select(F.col("a").alias("_a"), F.expr(f"cast((count + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")))
+    side = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
+    blocked = pairs.join(side, F.col("a") == F.col("_a"), "left").select("a", "b", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    members = blocked.select("a", F.expr("cast(pmod(xxhash64(b, 11), blocks) as int)").alias("block"), F.col("b").alias("node"))
+    cells = checkpoint(members.union(members.select("a", "block", F.col("a").alias("node")).distinct()))
 
-def _runs(parts: Iterator[pa.RecordBatch], by_kind: bool = False, most: int = 0) -> Iterator[tuple[tuple, list[tuple[int, bytes]]]]:
-    """Runs of equal (team, block, kind) of sorted rows as lists of (node, text), of at most ``most`` rows if given."""
+    def within(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(parts, 2):
+            tree = Tree.of_sets(np.array([r[0] for r in rows], np.int64), [shingles(r[1], width) for r in rows])
+            yield _pairs(walk(tree, tree, percent, Union()))
+
+    keyed = _fetched(texts, cells).select("a", "block", "node", "text")
+    return checkpoint(keyed.repartition("a", "block").sortWithinPartitions("a", "block").mapInArrow(within, PAIRS))
+
+
+def _apart(edges: DataFrame, joined: DataFrame) -> DataFrame:
+    """The keys whose members are not all in one component."""
+    pairs = edges.select("a", "b").distinct()
+    for c in "ab":
+        to = joined.select(F.col("node").alias(f"_{c}"), F.col("component").alias(f"c{c}"))
+        pairs = pairs.join(to, F.col(c) == F.col(f"_{c}"), "left")
+    bad = pairs.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    return checkpoint(edges.join(bad, ["a", "b"]).select("key").distinct())
+
+
+def _by_trees(texts: DataFrame, edges: DataFrame, keys: DataFrame, joined: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one key that are in different components, until they connect what all links do."""
+    own = edges.join(keys, "key")
+    nodes = own.select("key", F.col("a").alias("node")).union(own.select("key", F.col("b").alias("node"))).distinct()
+    nodes = nodes.join(joined.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    nodes = checkpoint(nodes)
+    # Keys with the same members are compared once.
+    sums = nodes.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("component").alias("least"))
+    kept = checkpoint(sums.groupBy("size", "sum").agg(F.min(F.struct("key", "least")).alias("first")).select(F.col("first.key").alias("_key"), F.col("first.least").alias("least"), F.expr(f"cast((size + {MAP_BLOCK - 1}) div {MAP_BLOCK} as int)").alias("blocks")))
+    side = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
+    nodes = nodes.join(side, F.col("key") == F.col("_key"))
+    # Every member is in one block of its key; those outside the key's smallest component are compared with all blocks.
+    index = nodes.select("key", F.expr("cast(pmod(xxhash64(node, 11), blocks) as int)").alias("block"), F.lit(0).alias("kind"), "node", "component")
+    asks = nodes.filter("component <> least").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "node", "component")
+    cells = checkpoint(index.union(asks))
+
+    drawn = T.StructType([T.StructField("node", T.LongType()), T.StructField("maps", T.ArrayType(T.StructType([T.StructField("n", T.LongType()), T.StructField("map", T.BinaryType())])))])
+
+    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sets = [shingles(text, width) for text in raw(part.column(1))]
+            maps = [[{"n": len(s), "map": bitmap(s, bits_of(len(s))).tobytes()}] for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(maps, pa.list_(pa.struct([("n", pa.int64()), ("map", pa.binary())])))], names=["node", "maps"])
+
+    wanted = checkpoint(nodes.select("node").distinct())
+    sketches = _fetched(texts, wanted).mapInArrow(draw, drawn).select("node", F.explode("maps").alias("m")).select(F.col("node").alias("_n"), "m.n", "m.map")
+    marked = T.StructType([T.StructField("key", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("component", T.LongType())])
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, block), rows, probes in _cells(parts):
+            bits = min(8 * len(r[3]) for r in [*rows, *probes])
+            trees = [Tree(np.array([r[0] for r in x], np.int64), np.array([r[2] for r in x], np.int64), np.stack([fold(np.frombuffer(r[3], np.uint64), bits) for r in x])) for x in (rows, probes)]
+            found = possible(*trees, percent, Union({r[0]: r[1] for r in [*rows, *probes]}))
+            for kind, (x, some) in enumerate(zip((rows, probes), found, strict=True)):
+                got = sorted({(x[i][0], x[i][1]) for i in np.flatnonzero(some)})
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(got), pa.int64()), pa.array([block] * len(got), pa.int32()), pa.array([kind] * len(got), pa.int32()), *[pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)]], names=marked.names)
+
+    def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, probes in _cells(parts):
+            sets = [[shingles(r[2], width) for r in x] for x in (rows, probes)]
+            bits = bits_of(max(len(s) for x in sets for s in x))
+            trees = [Tree.of_sets(np.array([r[0] for r in x], np.int64), s, bits) for x, s in zip((rows, probes), sets, strict=True)]
+            yield _pairs(walk(*trees, percent, Union({r[0]: r[1] for r in [*rows, *probes]})))
+
+    mapped = cells.join(sketches, F.col("node") == F.col("_n")).select(*marked.names, "n", "map")
+    marks = checkpoint(mapped.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(mark, marked).distinct())
+    held = _fetched(texts, marks).select(*marked.names, "text")
+    return checkpoint(held.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(exact, PAIRS))
+
+
+def _pairs(links: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+    found = list(links)
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _runs(parts: Iterator[pa.RecordBatch], width: int, most: int = 0) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows that are equal in the first ``width`` columns, as these and the other columns; of at most ``most`` rows if given."""
     now, held = None, []
     for part in parts:
-        keys = zip(*[part.column(i).to_pylist() for i in range(3)], strict=True)
-        for key, node, text in zip(keys, part.column(3).to_pylist(), raw(part.column(4)), strict=True):
-            if key != now or most and len(held) >= most:
+        columns = [raw(part.column(i)) if pa.types.is_string(part.column(i).type) else part.column(i).to_pylist() for i in range(part.num_columns)]
+        for row in zip(*columns, strict=True):
+            if row[:width] != now or most and len(held) >= most:
                 if held:
                     yield now, held
-                now, held = key, []
-            held.append((node, text))
+                now, held = row[:width], []
+            held.append(row[width:])
     if held:
         yield now, held
 
 
-def _sets(rows: list[tuple[int, bytes]], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    return np.array([n for n, _ in rows], np.int64), [shingles(t, width) for _, t in rows]
+def _cells(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple], list[tuple]]]:
+    """Of rows sorted by cell and kind: the cell, its members (kind 0), and each block of those to be compared with them."""
+    at, members = None, []
+    for (*cell, kind), rows in _runs(parts, 3, MAP_BLOCK):
+        if cell != at:
+            at, members = cell, []
+        if kind == 0:
+            members = members + rows
+        elif members:
+            yield tuple(cell), members, rows
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

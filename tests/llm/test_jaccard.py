@@ -6,7 +6,7 @@ import pytest
 
 from parquill.llm import jaccard
 from parquill.llm.components import components
-from parquill.llm.jaccard import Tree, Union, link_components, near_duplicates, walk
+from parquill.llm.jaccard import Parts, Tree, Union, link_components, near_duplicates, possible, walk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -62,6 +62,8 @@ def test_components_equal_brute_force(spark, width, percent):
 
 def test_large_groups_are_cut_into_blocks_without_loss(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "MAP_BLOCK", 16)
+    monkeypatch.setattr(jaccard, "MANY_KEYS", 50)
     draw = random.Random(9)
     base = [f"b{i}" for i in range(60)]
     texts = []
@@ -108,11 +110,13 @@ def test_trees_find_all_links(percent):
             union.join(int(a), int(b))
         return [union.root(int(i)) for i in ids]
 
-    tree = Tree(ids, own)
+    tree = Tree.of_sets(ids, own)
     assert groups(walk(tree, tree, percent, Union())) == groups(similar)
-    halves = [Tree(ids[:70], own[:70]), Tree(ids[70:], own[70:])]
+    halves = [Tree.of_sets(ids[:70], own[:70], 256), Tree.of_sets(ids[70:], own[70:], 256)]
     found = [*walk(halves[0], halves[0], percent, Union()), *walk(halves[1], halves[1], percent, Union()), *walk(*halves, percent, Union())]
     assert groups(found) == groups(similar)
+    marks = possible(*halves, percent, Union())
+    assert all(marks[0][b] and marks[1][a - 70] for a, b in similar if b < 70 <= a)
 
 
 def test_components_of_paths_and_stars(spark):
@@ -122,7 +126,42 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_a_pair_at_the_threshold_misses_all_bands_rarely():
-    for similarity in (0.8, 0.9):
-        n, rows = jaccard.bands(similarity)
-        assert (1 - similarity**rows) ** n <= jaccard.MISS and n * rows <= jaccard.HASHES
+@pytest.mark.parametrize("percent", [34, 50, 80, 90, 95, 100])
+def test_all_links_between_different_sets_share_a_key(percent):
+    draw = np.random.default_rng(percent)
+    parts, seen = Parts(percent), 0
+    for _ in range(1500):
+        size = int(draw.choice([draw.integers(1, 12), draw.integers(12, 100), draw.integers(100, 600)]))
+        x = np.unique(draw.integers(0, 2**63, size).astype(np.uint64))
+        change = draw.integers(0, int(1.2 * size * (1 - percent / 100)) + 1)
+        gone = draw.integers(0, change + 1)
+        y = np.unique(np.concatenate([draw.permutation(x)[gone:], draw.integers(0, 2**63, change - gone).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if both < max(len(x), len(y)) and 100 * both >= percent * (len(x) + len(y) - both):
+            seen += 1
+            assert {*parts.keys(x).tolist()} & {*parts.keys(y).tolist()}
+    assert seen > 200 or percent == 100
+
+
+def test_a_shared_passage_ties_few_texts(spark):
+    draw = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(i, passage + " " + " ".join(f"w{draw.randrange(10**6)}" for _ in range(80))) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    assert jaccard._common_keys(frame, 3, 90).count() < len(rows)
+    frame = spark.createDataFrame([(*r, 1, "x", 2) for r in [*rows, (3000, rows[7][1] + " end")]], KIND)
+    found = link_components(frame, width=3, percent=90).filter("component_id <> doc_id").collect()
+    assert [(r["doc_id"], r["component_id"]) for r in found] == [(3000, 7)]
+
+
+def test_a_large_cluster_with_strays(spark):
+    """Near copies of one text, of which many are too far from the smallest id, and some far from all."""
+    draw = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        t = list(base)
+        for _ in range(draw.choice([0, 1, 2, 3, 4, 6])):
+            t[draw.randrange(120)] = f"n{draw.randrange(40)}"
+        rows.append((i, " ".join(t)))
+    assert got(spark, rows, 3, 90) == brute(rows, 3, 90)
