@@ -1,11 +1,13 @@
 """Line dedup by a sharded minimal perfect hash.
 
 1. Every text is cut into lines; a line's key is hashed to 128 bits and kept once a document.
-2. Keys found in enough documents are counted (partial sums first, so a frequent line is no hot key).
-3. For each shard of those keys a minimal perfect hash gives slots of three compact arrays: a 64-bit
-   fingerprint, the number of documents and the largest document id.
-4. Documents probe the arrays: only (document id, hash) goes to the shards, never a line. A shard's
-   arrays are small, so they are copied to several cells and a frequent line's probes are dealt over them.
+2. Documents of each distinct hash are counted (partial sums first, so a frequent line is no hot key).
+3. For each shard of the distinct hashes a minimal perfect hash gives slots of two compact arrays: a
+   32-bit fingerprint and the number of documents. Where that number is large enough, a third array has
+   the largest document id.
+4. Documents probe the arrays, whose counts decide: only (document id, hash) goes to the shards, never a
+   line. A shard's arrays are small, so they are copied to several cells and a frequent line's probes are
+   dealt over them.
 5. What the probes found goes back by document id, and each text drops its lines.
 """
 
@@ -25,7 +27,7 @@ from parquill.llm.arrow import BLANK, as_text, code_points, raw
 from parquill.llm.perfect_hash import PerfectHash, dump, load
 from parquill.runtime import checkpoint
 
-#: Keys of one shard's arrays: about 1.3 MB.
+#: Keys of one shard's arrays, at most about: half a MB.
 SHARD_KEYS = 65_536
 #: Cells that hold a copy of each shard's arrays, at least.
 LEAST_COPIES = 8
@@ -67,8 +69,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pairs = checkpoint(texts.filter("id is not null").mapInArrow(gather, hashes))
-    repeated = checkpoint(pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("top")).filter(F.col("n") >= min_docs))
-    found = _probe(pairs, repeated).groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
+    counted = pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    found = _probe(pairs, counted, min_docs).groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
 
     others = [c for c in docs.columns if c not in (text_col, stats_col)]
     side = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("long").alias("id"))
@@ -98,13 +100,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return done.select(*columns, *[F.col("stats").alias(c) for c in [stats_col] if c])
 
 
-def _probe(pairs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Of ``pairs``, those whose key is repeated and whose id is not the largest that holds it."""
+def _probe(pairs: DataFrame, counted: DataFrame, min_docs: int) -> DataFrame:
+    """Of ``pairs``, those whose key has ``min_docs`` documents and whose id is not the largest that holds it."""
     spark = pairs.sparkSession
-    shards = max(1, math.ceil(repeated.count() / SHARD_KEYS))
+    shards = max(1, math.ceil(pairs.count() / SHARD_KEYS))
     copies = max(LEAST_COPIES, math.ceil(int(spark.conf.get("spark.sql.shuffle.partitions")) / shards))
     shard = F.expr(f"cast(pmod(h1, {shards}) as int)")
     index_type = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("arrays", T.BinaryType())])
+    kind = np.uint8 if min_docs < 1 << 8 else np.uint32
 
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -114,7 +117,8 @@ def _probe(pairs: DataFrame, repeated: DataFrame) -> DataFrame:
             index = PerfectHash.build(high, low)
             to = np.empty(len(high), np.int64)
             to[index.slots(high, low)] = np.arange(len(high))
-            blob = dump(words=index.words, bits=index.bits, fingerprints=low[to], counts=n[to], tops=top[to])
+            counts = np.minimum(n[to], np.iinfo(kind).max).astype(kind)
+            blob = dump(words=index.words, bits=index.bits, fingerprints=low[to].astype(np.uint32), counts=counts, tops=top[to][counts >= min_docs])
             return pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "arrays": pa.array([blob], pa.binary())})
 
         for part in parts:  # sorted by shard: one is held at a time
@@ -127,7 +131,7 @@ def _probe(pairs: DataFrame, repeated: DataFrame) -> DataFrame:
         for k in list(held):
             yield done(k)
 
-    rows = repeated.select(shard.alias("shard"), "h1", "h2", "n", "top")
+    rows = counted.select(shard.alias("shard"), "h1", "h2", "n", "top")
     index = checkpoint(rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, index_type))
 
     copied = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "arrays", *[F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "id")])
@@ -146,11 +150,14 @@ def _probe(pairs: DataFrame, repeated: DataFrame) -> DataFrame:
                 if blobs[a].is_valid:
                     arrays = load(blobs[a].as_py())
                     index, a = PerfectHash(arrays["words"], arrays["bits"]), a + 1
+                    enough = arrays["counts"] >= min_docs
+                    rank = np.cumsum(enough) - 1  # of a slot among those that have a largest id
                 if index is None or a == b:
-                    continue  # no repeated key in this shard
+                    continue
                 high, low, ids = (part.column(i).slice(a, b - a).to_numpy() for i in (3, 4, 5))
                 slot = index.slots(high, low)
-                hit = (slot >= 0) & (arrays["fingerprints"][slot] == low) & (arrays["tops"][slot] != ids)
+                hit = (slot >= 0) & (arrays["fingerprints"][slot] == low.astype(np.uint32)) & enough[slot]
+                hit[hit] = arrays["tops"][rank[slot[hit]]] != ids[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (high, low, ids)], names=["h1", "h2", "id"])
 
     return cells.mapInArrow(look, pairs.schema)

@@ -8,7 +8,8 @@ within one block of w*t.
 Weights are whole shares of their sum Q. After Q slots every source has had exactly its share, so the
 schedule repeats: only one period of Q slots is computed, or the phase if it is shorter, and each block
 finds its slot from its number alone. When a source has no block left, the phase ends and the others go
-on by their own shares. The driver computes as many slots as there are blocks at most.
+on by their own shares. The driver computes as many slots as there are blocks at most, and blocks are
+so large that these are no more than ``MAX_SLOTS``, unless few sources need fewer slots anyway.
 
 Shares from counts are so many in all that each is within ``SHARE_ERROR`` of its weight, however small.
 """
@@ -16,12 +17,12 @@ Shares from counts are so many in all that each is within ``SHARE_ERROR`` of its
 from __future__ import annotations
 
 import heapq
-import json
 import math
 from array import array
 from bisect import bisect_left
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 SHARES, SHARE_ERROR = 1_000, 0.02
 #: Rows of a source that one window partition numbers, about, and such partitions of a source at most.
 BUCKET_ROWS, MAX_BUCKETS = 256, 50_000
-#: Slots of all phases' periods up to which the schedule is broadcast: 16 MB.
-BROADCAST_SLOTS = 2_000_000
+#: Rows of a block at least, and slots of all phases' periods, which are computed on the driver and broadcast, at most: 8 MB.
+BLOCK_ROWS, MAX_SLOTS = 16, 1_000_000
 #: Weights are a list on the driver, so sources are few; more than this raises.
 MAX_SOURCES = 10_000
 
@@ -111,11 +112,18 @@ def shares_by_count(rows: Mapping[str, int], alpha: float, total: int | None = N
     return {s: max(1, round(total * p / whole)) for s, p in powers.items()}
 
 
-def mix_sources(docs: DataFrame, *, shares: Mapping[str, int] | None = None, alpha: float = 0.7, block_rows: int = 16, id_col: str = "doc_id", source_col: str = "source", prefix: str = "mix_") -> DataFrame:
+def rows_of_block(rows: int, sources: int, period_slots: int, most: int = MAX_SLOTS) -> int:
+    """The smallest block, of ``BLOCK_ROWS`` at least, with which the schedule takes no more than ``most`` slots and one for each source."""
+    if sources * period_slots <= most:  # one period a phase
+        return BLOCK_ROWS
+    return max(BLOCK_ROWS, -(-rows // most))
+
+
+def mix_sources(docs: DataFrame, *, shares: Mapping[str, int] | None = None, alpha: float = 0.7, block_rows: int | None = None, id_col: str = "doc_id", source_col: str = "source", prefix: str = "mix_") -> DataFrame:
     """All rows of ``docs`` with their place in the mixture.
 
     ``shares`` has each source's whole share; sources that it lacks, and all when None, get shares by
-    ``shares_by_count(alpha)``. Added columns: ``mix_phase``, ``mix_block`` (the source's block number),
+    ``shares_by_count(alpha)``. Blocks have ``block_rows`` rows, by default ``rows_of_block``. Added columns: ``mix_phase``, ``mix_block`` (the source's block number),
     ``mix_slot`` (the block's slot, gapless from 0 over all blocks) and ``mix_row`` (the row's number in
     its block); columns of these names in ``docs`` are
     replaced, and names with ``_mix_`` before are for the operator's use. No row is left out or repeated.
@@ -136,6 +144,7 @@ def mix_sources(docs: DataFrame, *, shares: Mapping[str, int] | None = None, alp
     if any(s not in given for s in counts):  # given shares are of SHARES
         scale = share_scale(counts, alpha)
         given = {s: n for s, n in shares_by_count(counts, alpha, SHARES * scale).items() if s not in given} | {s: n * scale for s, n in given.items()}
+    block_rows = block_rows or rows_of_block(sum(counts.values()), len(counts), sum(given[s] for s in counts))
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     plan = phases(blocks, given)
 
@@ -154,9 +163,7 @@ def mix_sources(docs: DataFrame, *, shares: Mapping[str, int] | None = None, alp
         for s in ph["at"]
         if ph["took"][s]
     ]
-    own = _literal(spark, rows).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "phase", "base", "size", "own", "spots"))).alias(phased)).withColumnRenamed("s", key)
-    if sum(ph["size"] for ph in plan) <= BROADCAST_SLOTS:
-        own = F.broadcast(own)
+    own = F.broadcast(_schedule(spark, rows).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "phase", "base", "size", "own", "spots"))).alias(phased)).withColumnRenamed("s", key))
     joined = placed.join(own, F.col(source) == F.col(key))
     entry, block = f"_{prefix}entry", f"`{added[1]}`"
     joined = joined.withColumn(entry, F.expr(f"filter(`{phased}`, x -> x.lo <= {block} and {block} < x.hi)[0]"))
@@ -165,9 +172,22 @@ def mix_sources(docs: DataFrame, *, shares: Mapping[str, int] | None = None, alp
     return joined.select(*keep, F.col(f"{entry}.phase").alias(added[0]), F.col(added[1]), slot.alias(added[2]), F.expr(f"`{number}` % {block_rows}").alias(added[3]))
 
 
-def _literal(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+def _schedule(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """The schedule's rows as a table: source, its first and next phase's block, phase, slots."""
     names = ("s", "lo", "hi", "phase", "base", "size", "own", "spots")
-    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
-    kind = "array<struct<s: string, lo: bigint, hi: bigint, phase: bigint, base: bigint, size: bigint, own: bigint, spots: array<bigint>>>"
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
+    kinds = (pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64()))
+    return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))}))
+
+
+def in_order(docs: DataFrame, *, rows_of_part: int = 20_000, **options: object) -> DataFrame:
+    """``docs`` in the order of the mixture: each partition holds one range of the schedule's slots, in order, and partitions follow each other.
+
+    Options are those of ``mix_sources``. There are as many partitions as shuffles have, and more where a
+    partition would have more than ``rows_of_part`` rows.
+    """
+    placed = mix_sources(docs, prefix="_mix_", **options)
+    rows, last = placed.agg(F.count("*"), F.max("_mix_slot")).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_of_part))
+    slots = (last or 0) + 1
+    ranged = placed.repartitionById(parts, F.expr(f"cast(_mix_slot * {parts} div {slots} as int)"))
+    return ranged.sortWithinPartitions("_mix_slot", "_mix_row").select(*docs.columns)

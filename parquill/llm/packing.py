@@ -4,7 +4,8 @@ Every example is a vector of demands: tokens, segments (one a piece) and loss-be
 are filled one at a time: of the examples that fit, the one whose demands have the largest weighted dot
 product with the sequence's remaining room goes in (Panigrahy, Talwar, Uyeda, Wieder: Heuristics for
 vector bin packing, 2011). Each task packs the rows of its own partition in bounded windows, so no text
-is shuffled and neighbours in the input, such as a mixture's order, stay neighbours.
+is shuffled. A window's sequences are numbered by the rows' order, so the input's order, such as that of a
+mixture, is kept but for the places within a window.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,20 +154,43 @@ def encoder(path: str) -> Cache:
     return words
 
 
-def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, max_segments: int = 1024, max_loss: int | None = None, end: int = END) -> DataFrame:
+def in_row_order(pieces: list[tuple], first: int) -> list[tuple]:
+    """The pieces with sequences from ``first`` on renumbered by the mean of their pieces' keys, which follow the rows."""
+    sums: dict[int, list[int]] = {}
+    for key, _, n, _, sequence, _ in pieces:
+        if sequence >= first:
+            own = sums.setdefault(sequence, [0, 0])
+            own[0] += key * n
+            own[1] += n
+    order = sorted(sums, key=lambda x: (sums[x][0] / sums[x][1], x))
+    number = {x: first + i for i, x in enumerate(order)}
+    return [(*p[:4], number.get(p[4], p[4]), p[5]) for p in pieces]
+
+
+def pack_documents(
+    docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, order: Column | None = None,
+    max_tokens: int = 4096, max_segments: int = 1024, max_loss: int | None = None, end: int = END, whole: bool = False,
+) -> DataFrame:
     """Packs whole texts into sequences: one row a piece, with its ids.
 
     ``tokenizer`` is the path of a vocabulary file whose tokens never span white space (default: the
     public file word_bpe_49k.json). A document is its text's ids and then ``end``; every id lies in
     exactly one piece. Returns ``doc_id``, ``start`` (its document's ids before the piece), ``length``,
-    ``ids`` (binary: little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id`` and ``offset``
-    (where in the sequence, gapless from 0). All tokens of a document bear loss.
-
-    Null or empty text: only ``end``. Null ids and repeated rows are packed like any other. An empty
-    table gives no piece. Other columns are not looked at. A sequence's id is its partition's number
-    and a number in it, so a task that runs again gives the same ids.
+    ``ids`` (binary: little-endian unsigned 32-bit), ``loss`` (how many of them bear loss),
+    ``doc_tokens``, ``sequence_id`` and ``offset`` (where in the sequence, gapless from 0).
+
+    For instruction data, ``prompt_col`` holds a text whose ids come first and bear no loss; all others
+    do, and sequences have at most ``max_loss`` of them (default: ``max_tokens``). With ``whole``
+    no document is cut; one beyond a limit is returned with a null sequence. ``order`` (a whole number of
+    the row, the same for all of a partition) is returned as ``order``: by it and the sequence, sequences
+    follow the rows' order also where partitions do not.
+
+    Null or empty text: only ``end``; a null prompt is empty. Null ids and repeated rows are packed like
+    any other. An empty table gives no piece. Other columns are not looked at. A sequence's id is its
+    partition's number and a number in it, so a task that runs again gives the same ids.
     """
-    schema = T.StructType([T.StructField(c, T.BinaryType() if c == "ids" else T.LongType()) for c in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")])
+    names = ("doc_id", "start", "length", "ids", "loss", "doc_tokens", "sequence_id", "offset", "order")
+    schema = T.StructType([T.StructField(c, T.BinaryType() if c == "ids" else T.LongType()) for c in names])
     loss_limit = max_loss or max_tokens
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,43 +200,50 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, id_col: str
 
             path = public_tokenizers.path("word_bpe_49k.json")
         words = shared(f"encoder {path}", lambda: encoder(path))
-        packer = Packer(max_tokens, max_segments, loss_limit, cut=True)
+        packer = Packer(max_tokens, max_segments, loss_limit, cut=not whole)
         base = TaskContext.get().partitionId() << 32
         close = np.array([end], "<u4").tobytes()
-        held: dict[int, tuple[int | None, bytes]] = {}
+        held: dict[int, tuple[int | None, bytes, int | None]] = {}
         items: list[list] = []
         tokens = number = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal items, tokens
+            first = packer.sequences
             pieces, items = packer.pack(items, last)
+            pieces = in_row_order(pieces, first)
             for k in range(0, len(pieces), 2000):
                 some = pieces[k : k + 2000]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array([held[p[0]][0] for p in some], pa.int64()),
-                        "start": pa.array([p[1] for p in some], pa.int64()),
-                        "length": pa.array([p[2] for p in some], pa.int64()),
-                        "ids": pa.array([held[p[0]][1][4 * p[1] : 4 * (p[1] + p[2])] for p in some], pa.binary()),
-                        "doc_tokens": pa.array([len(held[p[0]][1]) // 4 for p in some], pa.int64()),
-                        "sequence_id": pa.array([base + p[4] for p in some], pa.int64()),
-                        "offset": pa.array([p[5] for p in some], pa.int64()),
-                    }
-                )
+                columns = [
+                    [held[p[0]][0] for p in some],
+                    [p[1] for p in some],
+                    [p[2] for p in some],
+                    [held[p[0]][1][4 * p[1] : 4 * (p[1] + p[2])] for p in some],
+                    [p[3] for p in some],
+                    [len(held[p[0]][1]) // 4 for p in some],
+                    [base + p[4] if p[4] >= 0 else None for p in some],
+                    [p[5] for p in some],
+                    [held[p[0]][2] for p in some],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "ids" else pa.int64()) for n, x in zip(names, columns, strict=True)], names=names)
             waits = {x[0] for x in items}
             for key in [x for x in held if x not in waits]:
                 del held[key]
             tokens = sum(x[2] for x in items)
 
         for part in parts:
-            for doc, text in zip(part.column(0).to_pylist(), raw(part.column(1)), strict=True):
-                ids = b"".join(map(words.__getitem__, text.lower().split())) + close
-                held[number] = (doc, ids)
-                items.append([number, 0, len(ids) // 4, len(ids) // 4])
+            for doc, text, prompt, place in zip(part.column(0).to_pylist(), raw(part.column(1)), raw(part.column(2)), part.column(3).to_pylist(), strict=True):
+                free = b"".join(map(words.__getitem__, prompt.lower().split()))
+                ids = free + b"".join(map(words.__getitem__, text.lower().split())) + close
+                held[number] = (doc, ids, place)
+                items.append([number, 0, len(ids) // 4, (len(ids) - len(free)) // 4])
                 number += 1
                 tokens += len(ids) // 4
                 if tokens >= WINDOW_TOKENS:
                     yield from flush(False)
         yield from flush(True)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    prompt = F.col(prompt_col).cast("string") if prompt_col else F.lit(None).cast("string")
+    place = F.lit(None).cast("long") if order is None else order.cast("long")
+    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), prompt.alias("prompt"), place.alias("order")).mapInArrow(run, schema)
+    return pieces.drop("order") if order is None else pieces

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from parquill.llm import line_dedup
 from parquill.llm.line_dedup import dedup_lines
 from parquill.llm.perfect_hash import PerfectHash
 
@@ -64,3 +65,12 @@ def test_perfect_hash():
     assert set(index.slots(np.array([1, 1, 5]), np.array([1, 2, 9]))[:2]) == {0, 1}
     with pytest.raises(ValueError):
         PerfectHash.build(np.array([1, 1]), np.array([1, 1]))
+
+
+def test_many_shards_and_large_counts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 40)
+    rows = [(i, f"a line held by all of the documents\nline of tens of documents {i % 10}\nline that only one document has {i}") for i in range(320)]
+    check(spark, rows, min_docs=3)
+    check(spark, rows, min_docs=33)
+    check(spark, rows, min_docs=300)
+    check(spark, rows, min_docs=1)

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parquill.llm.mixing import SHARE_ERROR, mix_sources, period, phases, shares_by_count
+from parquill.llm.mixing import SHARE_ERROR, in_order, mix_sources, period, phases, rows_of_block, shares_by_count
 
 
 @settings(max_examples=200, deadline=None)
@@ -88,3 +88,23 @@ def test_edges(spark):
     with pytest.raises(ValueError):
         period({"a": 0})
     assert shares_by_count({"a": 10, "b": 10}, 0.5) == {"a": 500, "b": 500} and shares_by_count({"a": 10**9, "b": 1}, 1)["b"] == 1
+
+
+def test_the_order_of_files_is_the_schedule(spark, tmp_path):
+    rows = [(i, s) for i, s in enumerate("a" * 900 + "b" * 200 + "c" * 30)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    in_order(frame, rows_of_part=100).write.parquet(str(tmp_path / "mixed"))
+    slot = {r["doc_id"]: (r["mix_slot"], r["mix_row"]) for r in mix_sources(frame).collect()}
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    got = [slot[r["doc_id"]] for f in files for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+    assert len(files) == 12 and got == sorted(slot.values())
+
+
+def test_blocks_grow_where_the_schedule_would_not_fit_the_driver():
+    assert rows_of_block(10**12, 20, 1000) == 16 and rows_of_block(10**10, 10_000, 10**7, 10**6) == 10_000
+
+
+def test_equal_ids_in_many_sources_take_all_places(spark):
+    frame = spark.createDataFrame([(7, s) for s in "aaab" * 40], "doc_id long, source string")
+    got = mix_sources(frame, block_rows=4).collect()
+    assert len({(r["mix_slot"], r["mix_row"]) for r in got}) == 160

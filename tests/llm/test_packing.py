@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from parquill.llm import packing
 from parquill.llm.packing import Packer, encoder, pack_documents
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -89,3 +90,35 @@ def test_vectors_keep_all_limits(cut):
         assert cut or len(own) == 1 and (own[0][4] >= 0) == (loss <= 60)
     bound = max(-(-sum(x[2] for x in items) // 100), -(-sum(x[3] for x in items) // 60), -(-300 // 6))
     assert len(sums) <= 1.35 * bound + 7
+
+
+def test_instruction_data_keeps_the_limit_on_loss(spark):
+    draw = random.Random(6)
+    rows = [(i, " ".join(["ask"] * draw.randrange(0, 60)), " ".join(["answer"] * draw.randrange(0, 40))) for i in range(200)]
+    frame = spark.createDataFrame([*rows, (900, "ask " * 300, "no"), (901, None, "answer " * 99)], "doc_id long, prompt string, text string").coalesce(1)
+    for whole in (True, False):
+        got = pack_documents(frame, prompt_col="prompt", max_tokens=256, max_segments=8, max_loss=64, whole=whole).collect()
+        sums, by_doc = defaultdict(lambda: np.zeros(3, int)), Counter()
+        for r in got:
+            by_doc[r["doc_id"]] += r["loss"]
+            if r["sequence_id"] is not None:
+                sums[r["sequence_id"]] += [r["length"], 1, r["loss"]]
+        assert all((s <= [256, 8, 64]).all() for s in sums.values()) and max(s[2] for s in sums.values()) > 60
+        assert all(by_doc[i] == len(reference(text)) for i, _, text in rows)
+        if whole:
+            assert len(got) == 202 and {r["doc_id"] for r in got if r["sequence_id"] is None} == {900, 901}
+
+
+def test_windows_and_longer_documents_lose_nothing_and_keep_the_rows_order(spark, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW_TOKENS", 6000)
+    draw = random.Random(7)
+    texts = {i: " ".join(draw.choice(["red", "green", "bluish"]) for _ in range(draw.choice([5, 300, 900, 9000]))) for i in range(60)}
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id")
+    rows = pack_documents(frame).collect()
+    check(rows, texts)
+    short = frame.filter("length(text) < 9000")
+    means = defaultdict(list)
+    for r in pack_documents(short).collect():
+        means[r["sequence_id"]] += [r["doc_id"]] * r["length"]
+    places = [np.mean(means[s]) for s in sorted(means) if len(means[s]) == 4096]
+    assert len(places) > 3 and places == sorted(places)

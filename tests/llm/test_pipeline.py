@@ -38,6 +38,8 @@ def test_each_stage_on_what_the_one_before_kept(spark, tmp_path):
             assert Counter(map(tuple, after)) == Counter(map(tuple, before))
         else:
             check_pieces(after, {r["doc_id"]: r["text"] for r in before})
+            files = {r["order"] >> 40 for r in after}
+            assert files == {int(p.name[5:10]) for p in (tmp_path / "mixing").glob("part-*.parquet") if spark.read.parquet(str(p)).count()}
     assert corpus_pipeline.run(spark, FOLDER).count() == seen["packing"]
 
 
