@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from parquill.llm import cotraining, jaccard, line_dedup, mixing, packing
 from parquill.runtime import remove, table
 
-#: Blocks' slots that stay together, in order, in a partition of the mixed corpus.
-SLICE_SLOTS = 32
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     return cotraining.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -36,15 +32,19 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture: each partition holds whole slices of the schedule, in order."""
-    placed = mixing.mix_sources(docs)
-    piece = F.expr(f"mix_slot div {SLICE_SLOTS}")
-    return placed.withColumn("mix_slice", piece).repartition("mix_slice").sortWithinPartitions("mix_slot", "mix_row").select(*docs.columns)
+    """All documents in the order of the mixture: file k holds the k-th range of the schedule, in order."""
+    return mixing.in_order(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens, packed slice by slice, so they keep the mixture."""
-    return packing.pack_documents(docs)
+    """Sequences of at most 4096 tokens, which follow the schedule by ``order`` and ``sequence_id``.
+
+    ``order`` is the mixed file's number and, where a file is read in several pieces, the piece's place in
+    it. Within windows of about a million tokens documents change places to fill sequences. Where ``docs``
+    is not read from Spark's part files, as in tests, all have order 0.
+    """
+    part = F.coalesce(F.regexp_extract(F.input_file_name(), r"part-(\d+)-", 1).try_cast("long"), F.lit(0))
+    return packing.pack_documents(docs, order=part * (1 << 40) + F.input_file_block_start())
 
 
 STAGES = [("quality", good_quality), ("line_dedup", unique_lines), ("near_duplicates", one_of_similar), ("mixing", mixed), ("packing", packed)]
