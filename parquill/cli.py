@@ -119,7 +119,7 @@ def _run(a: argparse.Namespace, spark: SparkSession, make: Callable[..., Callabl
 
         from parquill.sources import sinks
 
-        tell = (lambda p: print(f"{p.source_name}: {p.file_index + 1}/{p.file_total}{'' if p.ok else ', FAILED'}", file=sys.stderr)) if a.progress or a.progress is None and sys.stderr.isatty() else None
+        tell = (lambda p: print(f"{p.source_name}: {p.file_index + 1}/{p.file_total}, {p.phase} {p.chunks_done}/{p.chunks_total}{'' if p.ok else ', FAILED'}", file=sys.stderr)) if a.progress or a.progress is None and sys.stderr.isatty() else None
         options = {"encoding": a.encoding, "budget_tokens": a.chunk_budget, "progress": tell}
         if a.output_dir:
             failed = documents.translate_files(spark, a.inputs, a.output_dir, functools.partial(build, True), force=a.force, **options)
@@ -158,7 +158,8 @@ def _run(a: argparse.Namespace, spark: SparkSession, make: Callable[..., Callabl
         evaluate.BASE: translator(functools.partial(make, a.model, None, False, a.max_tokens, False)),
         evaluate.ADAPTER: translator(functools.partial(make, a.model, a.adapter_path, a.allow_provenance_mismatch, a.max_tokens, False)),
     }
-    record = evaluate.evaluate_pair(spark, config, arms)
+    say = functools.partial(print, file=sys.stderr)
+    record = evaluate.evaluate_pair(spark, config, arms, report=say, warn=say)
     print(f"{evaluate.render_summary(record)}\n{evaluate.write_run(record, a.out)}")
     return 0
 

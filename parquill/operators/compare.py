@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parquill.errors import DatasetError, DecodingMismatchError
 from parquill.functions.text import nfc
+from parquill.runtime import checkpoint
 
 #: The share of differing outputs below which no delta counts, the least delta told, resamples and their interval.
 MIN_FRACTION, MIN_DELTA, RESAMPLES, CONFIDENCE = 0.5, 1.0, 1000, 0.95
@@ -46,6 +47,19 @@ def spread(repeats: DataFrame, by: str = "arm", score: str = "corpus_score") ->
     return repeats.groupBy(by).agg(F.when(F.count(score) >= 2, F.max(score) - F.min(score)).alias("spread"))
 
 
+def floors(spreads: DataFrame, bootstrap: Column | float | None = None) -> DataFrame:
+    """One row: ``floor``, the largest of its bases (``floor_bases``), from arms' repeat spreads in column ``spread``.
+
+    The convention always counts, the largest spread where an arm had two repeats, the bootstrap where given.
+    """
+    largest = F.max("spread")
+    given = bootstrap if isinstance(bootstrap, Column) else F.lit(bootstrap).cast("double")
+    made = spreads.agg(largest.alias("s"), F.max(given).alias("b"))
+    values = {CONVENTION: F.lit(MIN_DELTA), SPREAD: F.col("s"), BOOTSTRAP: F.col("b")}
+    bases = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    return made.select(F.greatest(*values.values()).alias("floor"), bases.alias("floor_bases"))
+
+
 def draw(seed: int, resample: Column, position: Column, size: Column) -> Column:
     """The index that a resample takes at a position: the first 32 bits of an MD5, modulo the size."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), resample.cast("string"), position.cast("string")))
@@ -53,17 +67,29 @@ def draw(seed: int, resample: Column, position: Column, size: Column) -> Column:
 
 
 def bootstrap_means(arms: DataFrame, seed: int, resamples: int = RESAMPLES, on: str = "line") -> DataFrame:
-    """Mean delta of each paired resample: (resample, mean).
+    """Mean delta of each paired resample: (resample, mean); none below two pairs.
 
-    Deltas are numbered in line order and met by the drawn index, an equi-join. A test split is read
-    by people, so its rows are few; resamples are dealt over tasks.
+    Deltas are numbered in line order. Each resample's drawn indices are counted first, so the join by
+    index gets a row for each resample and index that it drew, and sums are partly taken before a shuffle.
     """
     deltas = arms.select(F.col(on), (F.col("adapter_score") - F.col("base_score")).alias("delta"))
-    ordered = deltas.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(on).alias("l"), F.col("delta").alias("d")))), lambda x: x["d"]).alias("deltas"))
-    drawn = ordered.filter(F.size("deltas") >= 2).select("deltas", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).repartition("resample")
-    size = F.size("deltas")
-    total = F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0.0), lambda s, i: s + F.get(F.col("deltas"), draw(seed, F.col("resample"), i, size).cast("int")))
-    return drawn.select("resample", (total / size).alias("mean"))
+    numbered = checkpoint(_numbered(deltas, on))
+    n = numbered.count()
+    if n < 2:
+        return arms.sparkSession.createDataFrame([], "resample long, mean double")
+    drawn = arms.sparkSession.range(resamples * n).select((F.col("id") / n).cast("long").alias("resample"), F.pmod("id", F.lit(n)).alias("position"))
+    times = drawn.select("resample", draw(seed, F.col("resample"), F.col("position"), F.lit(n)).alias("index")).groupBy("resample", "index").agg(F.count("*").alias("times"))
+    return times.join(numbered, "index").groupBy("resample").agg((F.sum(F.col("times") * F.col("delta")) / n).alias("mean"))
+
+
+def _numbered(rows: DataFrame, on: str) -> DataFrame:
+    """``rows`` with ``index`` from 0 in the order of ``on``: ranges of it are numbered apart and shifted by the rows before."""
+    ranged = rows.repartitionByRange(on).withColumn("_part", F.spark_partition_id())
+    ranged = checkpoint(ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(on))))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    placed = ranged.join(F.broadcast(before), F.col("_part") == F.col("_p"))
+    return placed.select((F.col("_before") + F.col("_own") - 1).alias("index"), "delta")
 
 
 def bootstrap_floor(arms: DataFrame, delta: Column | float, seed: int, resamples: int = RESAMPLES, on: str = "line") -> DataFrame:
@@ -112,12 +138,21 @@ COMPARABLE = ("test_sha256", "test_limit", "prompt_shape_fingerprint")
 def compare_runs(first: DataFrame, second: DataFrame, on: str | None = None) -> DataFrame:
     """Pairs of run records: ``comparable``, ``reasons`` and, only where comparable, ``delta`` of deltas.
 
-    Records have ``run_id``, ``delta`` and the ``COMPARABLE`` columns. ``on`` names a column that pairs
-    them; otherwise both sides are single rows.
+    Records have ``run_id``, ``delta`` and the ``COMPARABLE`` columns. ``on`` names a column by which they
+    meet; without it ``first`` is one record, which is compared with all of ``second``.
     """
-    a = first.select(*[F.col(c).alias(f"a_{c}") for c in ("run_id", "delta", *COMPARABLE, *([on] if on else []))])
-    b = second.select(*[F.col(c).alias(f"b_{c}") for c in ("run_id", "delta", *COMPARABLE, *([on] if on else []))])
-    both = a.join(b, F.col(f"a_{on}").eqNullSafe(F.col(f"b_{on}")) if on else F.lit(True))
+    names = ("run_id", "delta", *COMPARABLE)
+    if on is None:
+        rows = first.select(*names).limit(2).collect()
+        if len(rows) > 1:
+            raise ValueError("several first records: name the column that pairs them")
+        kinds = {c: first.schema[c].dataType for c in names}
+        one = rows[0] if rows else None
+        both = second.select(*[F.lit(one[c] if one else None).cast(kinds[c]).alias(f"a_{c}") for c in names], *[F.col(c).alias(f"b_{c}") for c in names])
+        both = both if one else both.limit(0)
+    else:
+        a, b = (d.select(F.col(on).alias(f"{s}_on"), *[F.col(c).alias(f"{s}_{c}") for c in names]) for s, d in (("a", first), ("b", second)))
+        both = a.join(b, F.col("a_on").eqNullSafe(F.col("b_on")))
     reasons = F.filter(F.array(*[F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), c) for c in COMPARABLE]), lambda r: r.isNotNull())
     delta = F.when(F.size(reasons) == 0, F.col("b_delta") - F.col("a_delta"))
     return both.select(F.col("a_run_id").alias("first_run"), F.col("b_run_id").alias("second_run"), (F.size(reasons) == 0).alias("comparable"), reasons.alias("reasons"), delta.alias("delta"))

@@ -26,15 +26,27 @@ def overlaps(test: DataFrame, other: DataFrame, *, pair: bool = False) -> DataFr
 
 
 def overlap_summary(test: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
-    """By other split and kind (source, pair): hits, and the first one's lines. One job for all."""
-    parts = None
+    """By other split and kind (source, pair): ``hits``, and the first one's ``line`` and ``other_line``.
+
+    Every side is read once: the other splits' lines by source are reduced to one row a split and pair,
+    and met by source in one join.
+    """
+    keys = [canonical(F.col(c)).alias(f"_k{i}") for i, c in enumerate(("source", "target"))]
+    sides = None
     for name, other in others.items():
-        for kind in ("source", "pair"):
-            hits = overlaps(test, other, pair=kind == "pair")
-            row = hits.agg(F.count("*").alias("hits"), F.min(F.struct("line", "other_line")).alias("first"))
-            row = row.select(F.lit(name).alias("split"), F.lit(kind).alias("kind"), "hits", "first.line", "first.other_line")
-            parts = row if parts is None else parts.union(row)
-    return parts
+        one = other.select(F.lit(name).alias("split"), "line", *keys)
+        sides = one if sides is None else sides.union(one)
+    by_pair = sides.groupBy("split", "_k0", "_k1").agg(F.min("line").alias("other_line"))
+    met = test.select("line", *keys).withColumnRenamed("_k1", "_t1").join(by_pair, "_k0")
+    same = F.min(F.when(F.col("_k1").eqNullSafe(F.col("_t1")) & F.col("_k1").isNotNull(), F.col("other_line")))
+    by_line = met.groupBy("split", "line").agg(F.min("other_line").alias("source"), same.alias("pair"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("other_line")) for k in ("source", "pair")])).alias("k")
+    hits = by_line.select("split", "line", kinds).select("split", "line", "k.*").filter("other_line is not null")
+    found = hits.groupBy("split", "kind").agg(F.count("*").alias("hits"), F.min(F.struct("line", "other_line")).alias("first"))
+    listed = [(name, kind) for name in others for kind in ("source", "pair")]
+    spark = test.sparkSession
+    asked = spark.createDataFrame(listed, "split string, kind string")
+    return asked.join(F.broadcast(found), ["split", "kind"], "left").select("split", "kind", F.coalesce("hits", F.lit(0)).alias("hits"), "first.line", "first.other_line")
 
 
 def without_leaked(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "text") -> DataFrame:

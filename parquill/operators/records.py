@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 CHAT, COMPLETIONS, TEXT = "chat", "completions", "text"
 ROLES = ("system", "user", "assistant")
 MESSAGES = "array<struct<content:string,role:string>>"
+#: Fixed value: the system message of records, which adapters are fitted to.
+INSTRUCTION = (
+    "Translate the following Russian text into Korean. Reply with the Korean translation only, with no explanation, "
+    "no transliteration, and no restatement of the source."
+)
 
 
 @dataclass(frozen=True)
 class PromptShape:
     """The messages before an answer. ``mark`` stands for the source where the shape is measured."""
 
-    instruction: str = "Translate the Russian text into Korean and answer with the translation only."
+    instruction: str = INSTRUCTION
     mark: str = "«SOURCE-TEXT»"
 
     def messages(self, source: str) -> list[dict[str, str]]:
@@ -111,9 +116,20 @@ def classify(line: Column) -> tuple[Column, Column]:
     return schema, problem
 
 
-def uniformity(lines: DataFrame) -> DataFrame:
-    """First line of each schema of a file's rows (``line``, ``schema``), the two earliest."""
-    return lines.groupBy("schema").agg(F.min("line").alias("line")).orderBy("line").limit(2)
+def uniformity(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What classified rows (``line``, ``schema``, ``problem``) of a file are, or of each file told apart by ``by``.
+
+    ``schema`` is that of the earliest good row. ``error`` is null, or why the file is refused, at line
+    ``error_line``: the first bad row's problem, which wins, or ``mixed`` where the second schema begins.
+    """
+    firsts = lines.groupBy(*(by or []), "schema").agg(F.count("*").alias("n"), F.min("line").alias("line"), F.min(F.struct("line", "problem")).alias("p"))
+    grouped = firsts.groupBy(*(by or [])).agg(
+        F.sum("n").alias("n_rows"), F.array_sort(F.collect_list(F.when(F.col("schema").isNotNull(), F.struct("line", "schema")))).alias("s"), F.min(F.when(F.col("schema").isNull(), F.col("p"))).alias("bad")
+    )
+    other = F.get("s", F.lit(1))
+    error = F.when(F.col("bad").isNotNull(), F.col("bad.problem")).when(other.isNotNull(), "mixed")
+    line = F.coalesce("bad.line", other["line"])
+    return grouped.select(*(by or []), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.get("s", F.lit(0))["schema"].alias("schema"), error.alias("error"), line.alias("error_line"), other["schema"].alias("other_schema"))
 
 
 def messages_of(line: Column) -> Column:

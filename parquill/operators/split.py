@@ -6,6 +6,7 @@ digits, sums by those (65,536 at most) are accumulated first, and each bucket ad
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -29,16 +30,16 @@ class SplitPlan:
 
     @classmethod
     def of(cls, total: int, valid_fraction: float, test_fraction: float) -> SplitPlan:
-        shares = ((VALID, valid_fraction), (TEST, test_fraction))
-        if any(not 0 <= f < 1 for _, f in shares) or valid_fraction + test_fraction >= 1:
+        """Cuts [0, total) at the last floor(total * fraction) rows of each asked split; what is before them is train."""
+        asked = {name: f for name, f in ((VALID, valid_fraction), (TEST, test_fraction)) if f}
+        if not all(0 < f < 1 for f in asked.values()) or sum(asked.values()) >= 1:
             raise PrepareError("fractions must be in [0, 1) and sum to less than 1")
-        sizes = [(TRAIN, total - sum(math.floor(total * f) for _, f in shares))]
-        for name, fraction in shares:
-            if fraction > 0:
-                if not math.floor(total * fraction):
-                    raise PrepareError(f"{name} at {fraction} of {total} rows is empty; at least {math.ceil(1 / fraction)} rows are needed")
-                sizes.append((name, math.floor(total * fraction)))
-        return cls(tuple(sizes))
+        rows = [math.floor(total * f) for f in asked.values()]
+        ends = [*itertools.accumulate([total - sum(rows), *rows])]
+        for (name, f), a, b in zip(asked.items(), ends, ends[1:], strict=False):
+            if a == b:
+                raise PrepareError(f"{name} at {f} of {total} rows is empty; at least {math.ceil(1 / f)} rows are needed")
+        return cls(tuple(zip((TRAIN, *asked), (b - a for a, b in itertools.pairwise([0, *ends])), strict=True)))
 
 
 def running(groups: DataFrame, digest: str, ident: str, size: str) -> DataFrame:
@@ -58,7 +59,7 @@ def assign_splits(pairs: DataFrame, *, seed: int = 0, valid_fraction: float = 0.
     rows inside a split, where it matters, is (``group_hash``, source key, target key, target).
     """
     groups = pairs.groupBy(source_key).agg(F.count("*").alias("_size"))
-    hashed = groups.withColumn("group_hash", group_hash(seed, F.col(source_key)))
+    hashed = groups.withColumn("group_hash", group_hash(seed, F.coalesce(source_key, F.lit(""))))
     placed = checkpoint(running(hashed, "group_hash", source_key, "_size"))
     total = placed.agg(F.sum("_size")).first()[0] or 0
     plan = SplitPlan.of(total, valid_fraction, test_fraction)
@@ -72,7 +73,7 @@ def assign_splits(pairs: DataFrame, *, seed: int = 0, valid_fraction: float = 0.
     for name, bound in reversed(bounds):
         split = F.when(start < bound, name).otherwise(split)
     own = placed.select(F.col(source_key).alias("_key"), "group_hash", split.alias("split"))
-    return pairs.join(own, pairs[source_key] == own["_key"]).drop("_key")
+    return pairs.join(own, pairs[source_key].eqNullSafe(own["_key"])).drop("_key")
 
 
 def split_counts(split: DataFrame, source_key: str = "source_key") -> DataFrame:

@@ -16,12 +16,13 @@ from parquill.sources import readers, sinks
 
 @dataclass(frozen=True)
 class Progress:
-    """A document that is done."""
+    """A step of a document: ``start``, ``chunk_done`` for each chunk, ``done``; ``ok`` as far as it has come."""
 
     phase: str
     file_index: int
     file_total: int
     source_name: str
+    chunks_done: int
     chunks_total: int
     ok: bool
 
@@ -43,6 +44,10 @@ def translate_files(spark: SparkSession, sources: Sequence[str], folder: str, ma
         failed[str(source)] = tuple(row["chunks_failed"])
         if row["aborted"]:
             print(f"{source}: given up after {limit} failures in a row", file=sys.stderr)
-        if progress:
-            progress(Progress("done", row["file"], len(planned), str(source), row["chunks_total"], not row["chunks_failed"]))
+        if progress:  # chunks are told when their document comes back from its task
+            step = lambda phase, k: progress(Progress(phase, row["file"], len(planned), str(source), k, row["chunks_total"], not any(i < k for i in row["chunks_failed"])))  # noqa: B023, E731
+            step("start", 0)
+            for k in range(1, row["chunks_total"] + 1):
+                step("chunk_done", k)
+            step("done", row["chunks_total"])
     return failed

@@ -56,21 +56,47 @@ def check_isolation(spark: SparkSession, test: DataFrame, test_path: str, shape:
     return tuple(others)
 
 
-def run_arm(scored: DataFrame, translate: Callable[[Column], Column], repeats: int) -> tuple[DataFrame, list[float], float]:
+def run_id(identity: dict, now: datetime) -> str:
+    """When the run was, and a digest of what it was."""
+    return f"{now:%Y%m%dT%H%M%SZ}-{records.digest_of(identity)[:12]}"
+
+
+def limited(segments: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows by line; a limit below 1 is refused."""
+    if limit is not None and limit < 1:
+        raise EvaluationError(f"limit {limit} leaves nothing to score")
+    return segments.orderBy("line").limit(limit) if limit else segments
+
+
+def chrf_scorer(rows: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], float]]:
+    """Rows of ``output`` and ``target`` with ``score``, and the corpus score of such rows once they are kept."""
+    return chrf.segment_scores(rows, "output", "target"), lambda kept: chrf.pooled(kept).first()["corpus_score"]
+
+
+def run_arm(scored: DataFrame, translate: Callable[[Column], Column], repeats: int, scorer: Callable = chrf_scorer) -> tuple[DataFrame, list[float], float]:
     """The first pass's rows with output and score, each pass's corpus score, and seconds."""
     began, passes, first = time.monotonic(), [], None
     for _ in range(max(1, repeats)):
         out = scored.withColumn("_r", translate(F.col("source"))).withColumn("output", F.col("_r.text"))
-        rows = checkpoint(chrf.segment_scores(out, "output", "target"))
+        scored_rows, corpus = scorer(out)
+        rows = checkpoint(scored_rows)
         if bad := rows.filter("not _r.ok").orderBy("line").first():
             raise EvaluationError(f"line {bad['line']}: {bad['_r']['error']}")
-        passes.append(chrf.pooled(rows).first()["corpus_score"])
+        passes.append(corpus(rows))
         first = rows if first is None else first
     return first.select("line", "output", "score"), passes, time.monotonic() - began
 
 
-def evaluate_pair(spark: SparkSession, config: EvaluationConfig, arms: dict[str, Callable[[Column], Column]], *, clock: Callable[[], datetime] | None = None) -> dict:
-    """The run record. ``arms`` has for ``base`` and ``adapter`` a column function as ``mapping.translator`` makes."""
+def evaluate_pair(
+    spark: SparkSession, config: EvaluationConfig, arms: dict[str, Callable[[Column], Column]], *, clock: Callable[[], datetime] | None = None,
+    scorer: Callable = chrf_scorer, report: Callable[[str], None] | None = None, warn: Callable[[str], None] | None = None,
+) -> dict:
+    """The run record. ``arms`` has for ``base`` and ``adapter`` a column function as ``mapping.translator`` makes.
+
+    ``scorer`` stands for the metric, as ``chrf_scorer`` is one; ``report`` is told each step and ``warn``
+    what makes the comparison doubtful.
+    """
+    tell, doubt = report or (lambda _: None), warn or (lambda _: None)
     model = adapters.resolve_model(config.model_id)
     adapter = adapters.resolve_adapter(config.adapter_path)
     if adapter is None:
@@ -78,15 +104,20 @@ def evaluate_pair(spark: SparkSession, config: EvaluationConfig, arms: dict[str,
     segments = checkpoint(readers.load_split(spark, config.test_file, config.shape))
     check_isolation(spark, segments, config.test_file, config.shape)
     whole = leakage.split_digest(segments).first()
-    if config.limit is not None and config.limit < 1 or not whole["n_lines"]:
-        raise EvaluationError(f"limit {config.limit} leaves nothing to score")
-    scored = segments.orderBy("line").limit(config.limit) if config.limit else segments
+    scored = limited(segments, config.limit)
     known = adapters.read_provenance(adapter)
     confounded = known is not None and known.base_model_id != model
     if confounded and not config.allow_provenance_mismatch:
         raise ConfoundedComparisonError(f"{adapter} was fitted to {known.base_model_id}, not {model}")
-    done = {name: run_arm(scored, arms[name], config.repeats) for name in (BASE, ADAPTER)}
-    n = scored.count()
+    if known is None:
+        doubt(f"{adapter}: no provenance; its base cannot be checked")
+    elif confounded:
+        doubt(f"{adapter} was fitted to {known.base_model_id}, not {model}; going on as asked")
+    n, done = scored.count(), {}
+    for name in (BASE, ADAPTER):
+        tell(f"{name}: {max(1, config.repeats)} passes over {n} rows")
+        done[name] = run_arm(scored, arms[name], config.repeats, scorer)
+        tell(f"{name}: corpus score {done[name][1][0]:.2f} (n={n})")
     both = compare.join_arms(done[BASE][0], done[ADAPTER][0])
     spreads = [max(s) - min(s) if len(s) >= 2 else None for _, s, _ in done.values()]
     row = compare.compare(both, done[BASE][1][0], done[ADAPTER][1][0], spreads=spreads, confounded=confounded, bootstrap_seed=config.bootstrap_seed).first()
@@ -97,7 +128,7 @@ def evaluate_pair(spark: SparkSession, config: EvaluationConfig, arms: dict[str,
     scores = {name: {"corpus_chrf": s[0], "n": n} for name, (_, s, _) in done.items()}
     return {
         "schema_version": SCHEMA_VERSION,
-        "run_id": f"{now:%Y%m%dT%H%M%SZ}-{records.digest_of(identity)[:12]}",
+        "run_id": run_id(identity, now),
         "created_at": f"{now:%Y-%m-%dT%H:%M:%SZ}",
         "test_set": {"path": config.test_file, "sha256": whole["digest"], "n_lines": whole["n_lines"], "n_scored": n, "limit": config.limit, "subset": config.limit is not None},
         "prompt_shape_fingerprint": config.shape.fingerprint(),

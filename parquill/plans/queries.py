@@ -161,7 +161,7 @@ def arm_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = compare.bootstrap_floor(checkpoint(_arms(spark, sf_dir).select("line", "base_score", "adapter_score")), 1.5, seed=7, resamples=100)
+    out = compare.bootstrap_floor(checkpoint(_arms(spark, sf_dir).select("line", "base_score", "adapter_score")), 1.5, seed=7)
     return out.select(*[F.round(c, 6).alias(c) for c in ("low", "high", "floor")])
 
 
@@ -219,10 +219,10 @@ def token_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run records, one a source, against the next source's."""
-    docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("delta"))
-    runs = docs.select(F.col("source").alias("run_id"), "delta", F.when(F.col("n") > 45, "a").otherwise("b").alias("test_sha256"), F.when(F.col("n") % 2 == 0, F.lit(10)).alias("test_limit"), F.lit("p").alias("prompt_shape_fingerprint"), F.lit(1).alias("all"))
-    pairs = compare.compare_runs(runs, runs, on="all")
+    """Run records, one a source and language, against those of the same source."""
+    docs = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("delta"))
+    runs = docs.select("source", F.concat_ws("-", "source", "lang").alias("run_id"), "delta", F.when(F.col("n") % 3 == 0, "a").otherwise("b").alias("test_sha256"), F.when(F.col("n") % 2 == 0, F.lit(10)).alias("test_limit"), F.lit("p").alias("prompt_shape_fingerprint"))
+    pairs = compare.compare_runs(runs, runs, on="source")
     return pairs.select("first_run", "second_run", "comparable", F.array_join("reasons", ",").alias("reasons"), F.round("delta", 6).alias("delta"))
 
 
@@ -350,10 +350,10 @@ ORACLE_SQL: dict[str, str] = {
         size as (select count(*) as n from deltas),
         drawn as (
             select r, cast('0x' || substring(md5('7:' || r::varchar || ':' || i::varchar), 1, 8) as bigint) % n as pos
-            from (select unnest(range(0, 100)) as r), size, (select unnest(range(0, (select n from size))) as i)),
+            from (select unnest(range(0, 1000)) as r), size, (select unnest(range(0, (select n from size))) as i)),
         resampled as (select r, sum(delta) / (select n from size) as mean from drawn join deltas using (pos) group by r),
         ranked as (select mean, row_number() over (order by mean) - 1 as k from resampled),
-        ends as (select max(mean) filter (where k = 2) as low, max(mean) filter (where k = 96) as high from ranked)
+        ends as (select max(mean) filter (where k = 24) as low, max(mean) filter (where k = 974) as high from ranked)
         select round(low, 6) as low, round(high, 6) as high, case when low <= 0 and high >= 0 then 1.5::double else 0.0::double end as floor from ends""",
     "chunk_roundtrip": "select doc_id, sha256(replace(text, chr(10), chr(10) || chr(10))) as sha256 from documents where text <> ''",
     "chunk_budget": "select doc_id, true as good from documents where text <> ''",
@@ -369,10 +369,10 @@ ORACLE_SQL: dict[str, str] = {
     "token_fold": """with folded as (
             select conv_id, string_agg(text, '' order by turn) as text, max_by(role, turn) as last_role from conversations group by conv_id)
         select conv_id, md5(text) as text_md5, case when contains(text, '<think>') then 'reasoning' when last_role <> 'assistant' then 'truncated' end as problem from folded""",
-    "run_compare": """with docs as (select source, count(*) as n, round(avg(n_chars), 6) as delta from documents group by source),
-        runs as (select source as run_id, delta, case when n > 45 then 'a' else 'b' end as s, case when n % 2 = 0 then 10 end as l from docs)
+    "run_compare": """with docs as (select source, lang, count(*) as n, round(avg(n_chars), 6) as delta from documents group by source, lang),
+        runs as (select source, concat_ws('-', source, lang) as run_id, delta, case when n % 3 = 0 then 'a' else 'b' end as s, case when n % 2 = 0 then 10 end as l from docs)
         select a.run_id as first_run, b.run_id as second_run, a.s = b.s and a.l is not distinct from b.l as comparable,
             case when a.s <> b.s and a.l is distinct from b.l then 'test_sha256,test_limit' when a.s <> b.s then 'test_sha256' when a.l is distinct from b.l then 'test_limit' else '' end as reasons,
             case when a.s = b.s and a.l is not distinct from b.l then round(b.delta - a.delta, 6) end as delta
-        from runs a, runs b""",
+        from runs a join runs b on a.source is not distinct from b.source""",
 }

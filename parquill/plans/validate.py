@@ -26,14 +26,14 @@ def validate_schema(spark: SparkSession, path: str) -> str:
     if not Path(path).is_file():
         raise SchemaError(f"{path}: no such file")
     rows = readers.read_jsonl(spark, path)
-    if bad := rows.filter("problem is not null").orderBy("line").first():
-        raise SchemaError(f"{path}:{bad['line']}: {bad['problem']}")
-    first = records.uniformity(rows).collect()
-    if not first:
+    file = records.uniformity(rows).first()
+    if not file["n_rows"]:
         raise SchemaError(f"{path}: no records")
-    if len(first) > 1:
-        raise SchemaError(f"{path}:{first[1]['line']}: {first[1]['schema']} row in a {first[0]['schema']} file (line {first[0]['line']})")
-    return first[0]["schema"]
+    if file["error"] == "mixed":
+        raise SchemaError(f"{path}:{file['error_line']}: {file['other_schema']} row in a {file['schema']} file")
+    if file["error"]:
+        raise SchemaError(f"{path}:{file['error_line']}: {file['error']}")
+    return file["schema"]
 
 
 def validate_training_file(spark: SparkSession, path: str, shape: records.PromptShape) -> int:

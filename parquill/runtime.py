@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import importlib
+import re
 import tempfile
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from parquill.errors import EngineError
+
 
 def ship(*modules: str) -> None:
     """Pickle functions of these packages by value, so executors need no installed copy."""
@@ -15,17 +18,28 @@ def ship(*modules: str) -> None:
         cloudpickle.register_pickle_by_value(importlib.import_module(name))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder.
+
+    Only a session whose executors are in the driver's process may do without one; it gets a temporary one.
+    """
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise EngineError("spark.checkpoint.dir is unset; it must name a folder that all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parquill-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder of ``spark.checkpoint.dir``.
 
-    The folder of the session is used as it is; only where none is set (tests, notebooks) a
-    temporary one is chosen.
+    Its files go with the table if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parquill-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pathlib import Path
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +51,14 @@ def files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         out = one if out is None else out.union(one)
     if out is None:
         return spark.createDataFrame([], "file int, path string, valid boolean, text string")
-    good = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.regexp_replace(F.regexp_replace(F.col("content").cast("string"), "^﻿", ""), "\r\n?", "\n")
-    return out.select("file", "path", good.alias("valid"), F.when(good, text).alias("text"))
+    return out.select("file", "path", *decoded_utf8(F.col("content")))
+
+
+def decoded_utf8(content: Column) -> tuple[Column, Column]:
+    """Of a file's bytes: ``valid``, and ``text`` without a byte-order mark and with \\n as line end, null unless valid UTF-8."""
+    good = F.is_valid_utf8(content.cast("string"))
+    text = F.regexp_replace(F.regexp_replace(content.cast("string"), "^\ufeff", ""), "\r\n?", "\n")
+    return good.alias("valid"), F.when(good, text).alias("text")
 
 
 def lines(whole: DataFrame) -> DataFrame:
@@ -68,7 +74,11 @@ def read_pairs(spark: SparkSession, paths: Sequence[str], *, max_length_ratio: f
     Columns: file, path, line, source, target, source_key, target_key, problem. ``problem`` is the first
     of: ``encoding``, ``delimiter``, ``left``, ``right`` (that side is empty), ``ratio``, ``chars``.
     """
-    whole = files(spark, paths)
+    return pairs_of(files(spark, paths), max_length_ratio=max_length_ratio, max_chars=max_chars)
+
+
+def pairs_of(whole: DataFrame, *, max_length_ratio: float = 8.0, max_chars: int | None = None) -> DataFrame:
+    """``read_pairs`` of files that are rows already, as ``files`` gives them."""
     used = lines(whole).withColumn("s", strip(F.col("raw"))).filter((F.col("s") != "") & ~F.startswith("s", F.lit(COMMENT)))
     sides = F.split("s", r"\|\|\|", -1)
     cut = used.withColumn("sides", sides).withColumn("source", payload(F.get("sides", F.lit(0)))).withColumn("target", payload(F.get("sides", F.lit(1))))
@@ -98,8 +108,14 @@ def read_split(spark: SparkSession, path: str, shape: records.PromptShape) -> Da
 
 
 def load_split(spark: SparkSession, path: str, shape: records.PromptShape) -> DataFrame:
-    """``read_split``, refused at its first bad row."""
-    split = read_split(spark, path, shape)
+    """``read_split``, refused at its first bad row, and where there is no file or no row."""
+    try:
+        split = read_split(spark, path, shape)
+        empty = not split.limit(1).count()
+    except AnalysisException as error:
+        raise SchemaError(f"{path}: no such file") from error
+    if empty:
+        raise SchemaError(f"{path}: no records")
     if bad := split.filter("problem is not null").orderBy("line").first():
         raise SchemaError(f"{path}:{bad['line']}: {bad['problem']}")
     return split.select("line", "source", "target")
@@ -154,13 +170,16 @@ def read_run(spark: SparkSession, path: str) -> dict:
     return record
 
 
-#: A probe set: sentences that are compared from run to run, so never edited.
+#: The probe set, which is compared from run to run.
 PROBES = (
-    "Доброе утро! Как прошла ваша поездка?",
-    "Простите, поезд опоздал на двадцать минут.",
-    "Семь раз отмерь, один раз отрежь.",
-    "Сестра передала брату письмо, и он сразу его прочитал.",
-    "Сервер перезапускается ночью, поэтому журнал пуст до утра.",
+    "Здравствуйте, как дела?",
+    "Извините, я опоздал — на дорогах пробки.",
+    "Не откладывай на завтра то, что можно сделать сегодня.",
+    "Он обещал золотые горы, но в итоге всё осталось на словах.",
+    "Марина оставила ключи соседке, потому что уезжала на неделю; та потом отдала их брату.",
+    "Инженер собрал прототип, показал его команде, и они решили, что он готов к испытаниям.",
+    "Модель загружается один раз и остаётся в памяти, поэтому первый запрос заметно медленнее.",
+    "Квантование до четырёх бит уменьшает объём весов примерно вчетверо ценой части точности.",
 )
 
 

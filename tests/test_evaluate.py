@@ -156,3 +156,26 @@ def test_split_digest_needs_line_order_only(spark):
     rows = spark.createDataFrame([(2, "B", "y"), (1, " A  a", "x")], "line int, source string, target string")
     assert leakage.split_digest(rows).first()["digest"] == hashlib.sha256("a a\x1fx\nb\x1fy".encode()).hexdigest()
     assert rows.select(F.count("*")).first()[0] == 2
+
+
+def test_floors_take_the_largest_base(spark):
+    spreads = spark.createDataFrame([("a", 0.5), ("b", None), ("c", 2.5)], "arm string, spread double")
+    assert compare.floors(spreads).first()["floor"] == 2.5 and compare.floors(spreads, 7.0).first().asDict() == {"floor": 7.0, "floor_bases": {"convention": 1.0, "empirical-repeat-spread": 2.5, "bootstrap-ci": 7.0}}
+    assert compare.floors(spreads.filter("arm = 'b'")).first().asDict() == {"floor": 1.0, "floor_bases": {"convention": 1.0}}
+
+
+def test_several_first_records_need_a_key(spark):
+    kind = "run_id string, delta double, test_sha256 string, test_limit int, prompt_shape_fingerprint string"
+    rows = spark.createDataFrame([("a", 1.0, "s", None, "p"), ("b", 1.0, "s", None, "p")], kind)
+    with pytest.raises(ValueError):
+        compare.compare_runs(rows, rows)
+    assert compare.compare_runs(rows.limit(0), rows).count() == 0
+
+
+def test_missing_and_empty_splits_are_typed_errors(spark, tmp_path):
+    from parquill.errors import SchemaError
+
+    (tmp_path / "empty.jsonl").write_text("\n")
+    for name in ("none.jsonl", "empty.jsonl"):
+        with pytest.raises(SchemaError):
+            readers.load_split(spark, str(tmp_path / name), SHAPE)

@@ -102,8 +102,8 @@ def test_training_launch(spark, tmp_path):
         training.train_adapter(spark, training.TrainingConfig(data, adapter_path=str(tmp_path / "o2")), runner=lambda _: 3)
     with pytest.raises(AdapterPathError):
         training.adapter_path(training.TrainingConfig(data, adapter_path=f"{data}/x"))
-    with pytest.raises(KeyError):
-        training.build_argv(config, path, {"rank": "--rank"})
+    with pytest.raises(TypeError):
+        training.TrainingConfig(rank=8)
 
 
 def test_preflight():

@@ -18,7 +18,9 @@ def plain(value):
         return None
     if isinstance(value, (bool, np.bool_)):
         return bool(value)
-    return f"{float(value):.6g}" if isinstance(value, (int, float, np.number)) else str(value)
+    if isinstance(value, (int, np.integer)) or isinstance(value, (float, np.floating)) and float(value).is_integer():
+        return str(int(value))  # exact, also beyond 10 ** 6
+    return f"{float(value):.9g}" if isinstance(value, (float, np.floating)) else str(value)
 
 
 @pytest.fixture(scope="module")
