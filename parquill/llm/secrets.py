@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import Cache, raw
+from parquill.llm.arrow import Cache, mix, raw
+from parquill.runtime import checkpoint
 
 #: The base patterns, with the group whose length counts and its least.
 PATTERNS = {
@@ -41,8 +42,11 @@ _LEAD = re.compile(rf"^.*(?:{_NAMES.pattern})[\"']?[:=]?[\"']?", re.I | re.A)
 #: What is not plain behind such a word may be a secret that no pattern has.
 NAMING = frozenset("password passwd pwd pass secret token key apikey api_key auth credential credentials login bearer access private id user".split())
 #: Texts whose windows train the field at most, words of a window, and hashed features.
-SAMPLE_ROWS, WINDOW, FEATURES = 6_000, 24, 1 << 18
-#: Features of one word: 10 of its own, 2 of the text, 3 of each neighbour.
+SAMPLE_ROWS, WINDOW, FEATURES = 12_000, 24, 1 << 18
+#: Windows of a text around secrets, and around other words, at most.
+SECRET_WINDOWS, OTHER_WINDOWS = 2, 2
+#: Places of one word's features: of its own, of the text, of the word before and of the one after.
+OWN, FILE, BEFORE, AFTER = slice(0, 10), slice(10, 12), slice(12, 15), slice(15, 18)
 MOST_FEATURES = 18
 O, B, I = 0, 1, 2  # noqa: E741
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +109,60 @@ def file_feature(n_words: int, codes: int) -> list[str]:
     return [f"f{min(12, int(math.log2(n_words + 1)))}", f"g{min(8, 16 * codes // max(1, n_words))}"]
 
 
+class Sample:
+    """Windows to train on. Words share few rows of features of a kind, so sums are taken over distinct rows."""
+
+    def __init__(self, features: np.ndarray, tags: np.ndarray, size: int = FEATURES) -> None:
+        n, words, k = features.shape
+        self.shape, self.real, self.size = (n, words), tags >= 0, size
+        at = np.where(features < 0, size, features).reshape(n * words, k)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for part in (OWN, FILE, BEFORE, AFTER):
+            rows = np.ascontiguousarray(at[:, part])
+            if rows.shape[1]:
+                key = mix((rows.astype(np.uint64) * mix(np.arange(1, rows.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).sum(1))
+                _, first, which = np.unique(key, return_index=True, return_inverse=True)
+                self.parts.append((rows[first], which))
+        self.gold = np.eye(3)[np.where(self.real, tags, 0)] * self.real[..., None]
+        both = self.real[:, 1:, None]
+        self.gold_moves = np.einsum("ntx,nty->xy", self.gold[:, :-1], self.gold[:, 1:] * both)
+
+    def gradient(self, w: np.ndarray, a: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The mean log-likelihood of the tags, and its gradients by weights and moves. Probabilities are scaled word by word."""
+        n, words = self.shape
+        score = sum(w[rows].sum(1)[which] for rows, which in self.parts).reshape(n, words, 3)
+        top = score.max(2, keepdims=True)
+        emit = np.exp(score - top)
+        move = np.exp(a)
+        move[O, I] = 0
+        ahead, back = np.zeros((n, words, 3)), np.ones((n, words, 3))
+        ahead[:, 0] = emit[:, 0] * [1, 1, 0]
+        scale = np.ones((n, words, 1))
+        scale[:, 0] = ahead[:, 0].sum(1, keepdims=True)
+        ahead[:, 0] /= scale[:, 0]
+        for t in range(1, words):
+            step = (ahead[:, t - 1] @ move) * emit[:, t]
+            scale[:, t] = np.where(self.real[:, t, None], step.sum(1, keepdims=True), 1)
+            ahead[:, t] = np.where(self.real[:, t, None], step / scale[:, t], ahead[:, t - 1])
+        for t in range(words - 2, -1, -1):
+            step = (emit[:, t + 1] * back[:, t + 1]) @ move.T / scale[:, t + 1]
+            back[:, t] = np.where(self.real[:, t + 1, None], step, back[:, t + 1])
+        real = self.real[..., None]
+        node = ahead * back * real
+        node /= np.where(real, node.sum(2, keepdims=True), 1)
+        after = np.where(real[:, 1:], emit[:, 1:] * back[:, 1:] / scale[:, 1:], 0)
+        edge = np.einsum("ntx,nty->xy", ahead[:, :-1], after) * move
+        diff = (self.gold - node).reshape(-1, 3)
+        grad = np.zeros((self.size + 1, 3))
+        for rows, which in self.parts:
+            for c in range(3):
+                summed = np.bincount(which, diff[:, c], len(rows))
+                grad[:, c] += np.bincount(rows.reshape(-1), np.repeat(summed, rows.shape[1]), self.size + 1)
+        grad[self.size] = 0
+        given = ((score - top) * self.gold).sum() + (self.gold_moves * a).sum() - np.log(scale[self.real]).sum()
+        return float(given) / n, grad / n, (self.gold_moves - edge) / n
+
+
 class Field:
     """A linear-chain conditional random field over three tags; inside may follow only begin and inside."""
 
@@ -117,39 +175,21 @@ class Field:
 
         Maximises the conditional likelihood by adaptive gradient steps.
         """
-        n, words, k = features.shape
-        w, a = np.zeros((FEATURES + 1, 3)), np.zeros((3, 3))
-        at = np.where(features < 0, FEATURES, features)
-        real = tags >= 0
-        gold = np.eye(3)[np.where(real, tags, 0)] * real[..., None]
-        gold_moves = np.einsum("ntx,nty->xy", gold[:, :-1], gold[:, 1:])
-        wall = np.zeros((3, 3))
-        wall[O, I] = -1e4
+        used, at = np.unique(features, return_inverse=True)  # only features that occur are learned
+        sample = Sample(at.reshape(features.shape) + (-1 if len(used) and used[0] < 0 else 0), tags, len(used))
+        w, a = np.zeros((sample.size + 1, 3)), np.zeros((3, 3))
         seen_w, seen_a = np.full_like(w, 1e-6), np.full_like(a, 1e-6)
-        for _ in range(rounds if n else 0):
-            score = w[at].sum(2) * real[..., None]
-            move = a + wall
-            ahead, back = np.zeros((n, words, 3)), np.zeros((n, words, 3))
-            ahead[:, 0] = score[:, 0]
-            ahead[:, 0, I] = -1e4
-            for t in range(1, words):
-                step = np.logaddexp.reduce(ahead[:, t - 1, :, None] + move, 1) + score[:, t]
-                ahead[:, t] = np.where(real[:, t, None], step, ahead[:, t - 1])
-            for t in range(words - 2, -1, -1):
-                step = np.logaddexp.reduce(move[None] + (score[:, t + 1] + back[:, t + 1])[:, None, :], 2)
-                back[:, t] = np.where(real[:, t + 1, None], step, back[:, t + 1])
-            whole = np.logaddexp.reduce(ahead[:, -1], 1)[:, None, None]
-            node = np.exp(ahead + back - whole) * real[..., None]
-            edge = np.exp(ahead[:, :-1, :, None] + move + (score[:, 1:] + back[:, 1:])[:, :, None, :] - whole[..., None]) * real[:, 1:, None, None]
-            diff = (gold - node).reshape(-1, 3)
-            grad = np.stack([np.bincount(at.reshape(-1), np.repeat(diff[:, c], k), FEATURES + 1) for c in range(3)], 1) / n - penalty * w
-            grad[FEATURES] = 0
-            grad_a = (gold_moves - edge.sum((0, 1))) / n - penalty * a
+        for _ in range(rounds if len(features) else 0):
+            _, grad, grad_a = sample.gradient(w, a)
+            grad -= penalty * w
+            grad_a -= penalty * a
             seen_w += grad**2
             seen_a += grad_a**2
             w += rate * grad / np.sqrt(seen_w)
             a += rate * grad_a / np.sqrt(seen_a)
-        return cls(w[:FEATURES], a)
+        out = np.zeros((FEATURES, 3))
+        out[used[used >= 0]] = w[: int((used >= 0).sum())]
+        return cls(out, a)
 
     def tags(self, score: np.ndarray) -> np.ndarray:
         """The best tags by Viterbi of words x 3 scores.
@@ -299,7 +339,12 @@ def _lines(value: str, draw: int) -> list[str]:
 
 
 def windows(data: bytes, number: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training windows of a text: around base matches and a private key's body, one with a matched value over several words, around two other words that are not plain, and for one text in four anywhere. (features, tags) by word."""
+    """Training windows of a text, (features, tags) by word.
+
+    Around base matches and private keys' bodies, ``SECRET_WINDOWS`` at most; one with a matched value over
+    several words; around other words that are not plain, ``OTHER_WINDOWS`` at most; for one text in four
+    anywhere. Which ones is drawn from the text's hash.
+    """
     text = data.decode("utf-8", "replace")
     found = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     if not found:
@@ -327,7 +372,8 @@ def windows(data: bytes, number: int) -> list[tuple[np.ndarray, np.ndarray]]:
     # What is not plain and follows a naming word may be a secret that no pattern has: windows with it teach nothing.
     doubt = [i for i in odd if tags[i] == O and i not in known and any(w.strip(_EDGE).lower() in NAMING for _, _, w in found[max(0, i - 2) : i])]
     others = [i for i in odd if tags[i] == O and i not in doubt]
-    middles = middles[:6] + [others[(draw >> k) % len(others)] for k in (8, 24) if others] + [draw % len(found)] * (draw >> 60 < 4)
+    order = random.Random(draw)
+    middles = order.sample(middles, min(SECRET_WINDOWS, len(middles))) + order.sample(others, min(OTHER_WINDOWS, len(others))) + [draw % len(found)] * (draw >> 60 < 4)
     whole = _hash(file_feature(len(found), codes), "f")
     out = []
     for k, (middle, value) in enumerate([*((m, "") for m in middles), *([values[draw % len(values)]] if values else [])]):
@@ -345,30 +391,39 @@ def windows(data: bytes, number: int) -> list[tuple[np.ndarray, np.ndarray]]:
             some = some[:WINDOW]
         rows = np.full((len(some), MOST_FEATURES), -1, np.int64)
         for i, w in enumerate(some):
-            left = _hash(_near(some[i - 1]), "p") if i else whole[:0]
-            right = _hash(_near(some[i + 1]), "n") if i + 1 < len(some) else whole[:0]
-            of = np.concatenate([_hash(_own(w), "o"), whole, left, right])
-            rows[i, : len(of)] = of
+            own = _hash(_own(w), "o")
+            rows[i, : len(own)], rows[i, FILE] = own, whole
+            if i:
+                rows[i, BEFORE] = _hash(_near(some[i - 1]), "p")
+            if i + 1 < len(some):
+                rows[i, AFTER] = _hash(_near(some[i + 1]), "n")
         out.append((rows, own_tags))
     return out
 
 
+#: What a text with a base match or a private key has somewhere, for Spark's reader of patterns.
+_MAY = r"(?i:pass(?:word|wd)|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|PRIVATE KEY"
+
+
 def fit_field(docs: DataFrame, id_col: str, text_col: str, rows: int) -> Field:
-    """Trains on at most ``rows`` texts, taken by a hash of the id."""
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
-    few = ids.orderBy(F.xxhash64("id"), "id").limit(rows).select(F.col("id").alias("_field_id"))
-    kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("features", T.ArrayType(T.LongType())), T.StructField("tags", T.ArrayType(T.LongType()))])
+    """Trains on at most ``rows`` texts: half of them, or all that there are, with a match, the others without, each taken by a hash of the id."""
+    text = F.col(text_col).cast("string")
+    marked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.rlike(text, F.lit(_MAY)), F.lit(False)).alias("has")).filter("id is not null")
+    ids = checkpoint(marked.groupBy("id").agg(F.max("has").alias("has")))
+    by_hash = lambda some, n: some.orderBy(F.xxhash64("id"), "id").limit(n).select(F.col("id").alias("_field_id"))
+    few = by_hash(ids.filter("has"), rows // 2).union(by_hash(ids.filter("not has"), rows - rows // 2))
+    kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("features", T.ArrayType(T.IntegerType())), T.StructField("tags", T.ArrayType(T.IntegerType()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(doc, w) for doc, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True) for w in windows(text, doc)]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([d for d, _ in out], pa.int64()), "features": pa.array([w[0].ravel() for _, w in out], pa.list_(pa.int64())), "tags": pa.array([w[1] for _, w in out], pa.list_(pa.int64()))})
+            out = [(doc, w) for doc, one in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True) for w in windows(one, doc)]
+            yield pa.RecordBatch.from_pydict({"id": pa.array([d for d, _ in out], pa.int64()), "features": pa.array([w[0].ravel() for _, w in out], pa.list_(pa.int32())), "tags": pa.array([w[1] for _, w in out], pa.list_(pa.int32()))})
 
-    used = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    got = used.join(F.broadcast(few), used["id"] == few["_field_id"]).select("id", "text").mapInArrow(cut, kind).toArrow()  # rows texts' windows, 10 each at most
-    order = np.argsort(got["id"].to_numpy(), kind="stable")[: 2 * rows]
+    used = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    got = used.join(F.broadcast(few), used["id"] == few["_field_id"]).select("id", "text").mapInArrow(cut, kind).toArrow()  # rows texts' windows, 6 each at most
+    order = np.argsort(got["id"].to_numpy(), kind="stable")
     all_features, all_tags = got["features"].combine_chunks(), got["tags"].combine_chunks()
-    x, y = np.full((len(order), WINDOW, MOST_FEATURES), -1, np.int64), np.full((len(order), WINDOW), -1, np.int64)
+    x, y = np.full((len(order), WINDOW, MOST_FEATURES), -1, np.int32), np.full((len(order), WINDOW), -1, np.int64)
     for i, j in enumerate(order):
         t = all_tags[int(j)].values.to_numpy()
         y[i, : len(t)] = t

@@ -144,6 +144,64 @@ def test_gradient_follows_the_likelihood():
     assert field.weights[5, B] > field.weights[5, O] and field.weights[9, O] > field.weights[9, B]
 
 
+def test_gradient_equals_differences():
+    draw = np.random.default_rng(15)
+    tags = draw.choice([O, O, B], (6, 7))
+    tags[draw.random((6, 7)) < 0.3] = I
+    for row in tags:
+        for t in range(7):
+            if row[t] == I and (t == 0 or row[t - 1] == O):
+                row[t] = B
+    tags[0, 4:] = tags[1, 1:] = -1
+    features = draw.integers(-1, 40, (6, 7, 18))
+    sample = secrets.Sample(features, tags)
+    w, a = np.zeros((FEATURES + 1, 3)), draw.normal(size=(3, 3))
+    w[:40] = draw.normal(size=(40, 3))
+    value, grad, grad_a = sample.gradient(w, a)
+    # The likelihood by all paths of the second window's one word and of the first window's four.
+    total = 0.0
+    for x, y in zip(features, tags, strict=True):
+        n = int((y >= 0).sum())
+        score = np.where(x[:n, :, None] >= 0, w[x[:n]], 0).sum(1)
+        paths = [p for p in np.ndindex(*[3] * n) if p[0] != I and (O, I) not in zip(p, p[1:], strict=False)]
+        of = lambda p, s=score: sum(s[i, t] for i, t in enumerate(p)) + sum(a[i, j] for i, j in zip(p, p[1:], strict=False))
+        total += of(tuple(y[:n])) - np.logaddexp.reduce([of(p) for p in paths])
+    assert np.isclose(value, total / 6)
+    step = 1e-5
+    for at in [(3, 0), (7, 1), (11, 2), (39, 1)]:
+        w[at] += step
+        up = sample.gradient(w, a)[0]
+        w[at] -= 2 * step
+        down = sample.gradient(w, a)[0]
+        w[at] += step
+        assert np.isclose((up - down) / (2 * step), grad[at], atol=1e-6)
+    for at in [(O, B), (B, I), (I, I), (B, O)]:
+        a[at] += step
+        up = sample.gradient(w, a)[0]
+        a[at] -= 2 * step
+        down = sample.gradient(w, a)[0]
+        a[at] += step
+        assert np.isclose((up - down) / (2 * step), grad_a[at], atol=1e-6)
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_WORDS", 2_000)
+    monkeypatch.setattr(secrets, "MOST_FORMS", 1_000)
+    draw, scanner = random.Random(16), secrets.Scanner(Field(np.zeros((FEATURES, 3)), np.zeros((3, 3))))
+    for _ in range(200):
+        scanner.spans(" ".join("".join(draw.choice("abcdefgh12345") for _ in range(12)) for _ in range(100)).encode())
+        assert len(scanner.table) <= 4096 and len(scanner.words) <= 2_100 and len(scanner.forms) <= 1_100
+
+
+def test_texts_with_matches_train_however_rare(spark):
+    draw = random.Random(17)
+    code = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"plain words before password={code(18)} and plain words behind" if i % 100 == 0 else "plain words only, and no more of them") for i in range(3000)]
+    field = secrets.fit_field(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 60)
+    base, spans = secrets.Scanner(field).spans(f"plain words before pwd {code(18)} and plain words behind".encode())
+    assert not base and [k for _, k, _ in spans] == ["crf"]
+
+
 def test_edges(spark):
     kind = "doc_id long, text string"
     rows = [(1, None), (2, ""), (None, "password=abcdefgh"), (3, "x" * 200_000), (3, "password=abcdefgh"), (3, "password=abcdefgh")]
