@@ -23,8 +23,8 @@ from parquill.runtime import checkpoint
 
 #: Filters of a cascade; keys still in doubt after the last are kept as they are.
 MAX_LEVELS = 40
-#: Rules and hosts are a list on the driver, and a cascade is a literal of the plan.
-MAX_LISTED = 1_000_000
+#: Listed keys of one cascade, whose filters are literals of the plan: 4 MB or so. Longer lists get several.
+MAX_LISTED = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,24 +79,26 @@ def _strings(values: Sequence[str]) -> Column:
     return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
-def cascade(spark: SparkSession, listed: Sequence[str], universe: DataFrame, size: int) -> Cascade:
-    """The cascade of ``listed`` over the distinct keys in ``universe``'s column ``key``, ``size`` in all."""
-    if not listed:
+def _table(spark: SparkSession, values: Sequence[str], name: str) -> DataFrame:
+    """Values that the caller holds as a table, made by Spark alone."""
+    return spark.range(1).select(F.explode(_strings(values)).alias(name))
+
+
+def cascade(listed: DataFrame, count: int, universe: DataFrame, size: int) -> Cascade:
+    """The cascade of the ``count`` distinct keys in ``listed``'s column ``key`` over those in ``universe``'s, ``size`` in all."""
+    if not count:
         return Cascade((), (), False)
-    if len(listed) > MAX_LISTED:
-        raise ValueError(f"more than {MAX_LISTED} listed keys")
-    inside = spark.range(1).select(F.explode(_strings(listed)).alias("key"))
-    others = None
-    counts = [len(listed), 0]
+    inside, others = listed, None
+    counts = [count, 0]
     # As small in all as can be: the first filter lets through about 0.7 keys for each listed one, the others half.
-    rate = min(0.5, math.sqrt(0.5) * len(listed) / max(1, size))
+    rate = min(0.5, math.sqrt(0.5) * count / max(1, size))
     levels: list[Bloom] = []
     while len(levels) < MAX_LEVELS:
         i = len(levels)
         now, against = (inside, others) if i % 2 == 0 else (others, inside)
         levels.append(bloom(now, counts[i % 2], rate if i == 0 else 0.5, i))
         if i == 0:
-            passed = universe.filter(levels[0].has(F.col("key"))).filter(~F.array_contains(_strings(listed), F.col("key")))
+            passed = universe.filter(levels[0].has(F.col("key"))).join(listed, "key", "left_anti")
         else:
             passed = against.filter(levels[i].has(F.col("key")))
         passed = checkpoint(passed)
@@ -110,19 +112,41 @@ def cascade(spark: SparkSession, listed: Sequence[str], universe: DataFrame, siz
     return Cascade(tuple(levels), tuple(r[0] for r in inside.select("key").collect()), False)
 
 
+@dataclass(frozen=True)
+class Cascades:
+    """Cascades of the parts of a list, parted by a hash of the key."""
+
+    parts: tuple[Cascade, ...]
+
+    def has(self, key: Column) -> Column:
+        out = F.lit(False)
+        for part in self.parts:
+            out = out | part.has(key)
+        return out
+
+
+def cascades(listed: DataFrame, universe: DataFrame, size: int) -> Cascades:
+    """One cascade over ``universe`` for each ``MAX_LISTED`` keys, or so, of ``listed``, whose keys may repeat."""
+    keys = checkpoint(listed.filter("key is not null").distinct())
+    parts = max(1, -(-keys.count() // MAX_LISTED))
+    of = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(parts))
+    some = [keys.filter(of == k) if parts > 1 else keys for k in range(parts)]
+    return Cascades(tuple(cascade(x, x.count(), universe, size) for x in some))
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host, A-Z lower-cased, and path; both empty without ``://``."""
     host = F.coalesce(F.translate(F.regexp_extract(url, "://([^/?#]*)", 1), UPPER, LOWER), F.lit(""))
     return host, F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def filter_urls(pages: DataFrame, *, allow: Sequence[str], block: Sequence[str], block_hosts: Sequence[str] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, *, allow: Sequence[str], block: Sequence[str], block_hosts: Sequence[str] | DataFrame = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Judges every row's url: ``page_id``, ``host``, ``path``, ``rule`` and ``verdict``.
 
     A rule is a host and a path, as in ``net/es/``; it fits that host and its subdomains where the url's
     path starts with the rule's. Of rules that fit, the longest wins, and of those the one with the
     longer host. Where none fits, ``rule`` is null and the verdict is ``block`` if the host or a parent
-    of it is in ``block_hosts``, else ``allow``.
+    of it is in ``block_hosts``, else ``allow``. ``block_hosts`` is a list, or a table with a column ``host``.
 
     A null url, or one without ``://``, has empty host and path: no rule fits, the verdict is allow.
     Repeated rows are judged each; null ids stay. An empty table gives an empty result; other columns
@@ -141,8 +165,10 @@ def filter_urls(pages: DataFrame, *, allow: Sequence[str], block: Sequence[str],
     keys = F.expr("concat(flatten(transform(hosts, h -> transform(heads, p -> concat('r', h, p)))), transform(hosts, h -> concat('h', h)))")
     universe = checkpoint(cut.select("hosts", "heads").distinct().select(F.explode(keys).alias("key")).distinct())
     size = universe.count()
-    allowed = cascade(spark, [f"r{h}{p}" for h, p in rules["allow"]], universe, size)
-    blocked = cascade(spark, [*[f"r{h}{p}" for h, p in rules["block"]], *[f"h{h.lower()}" for h in block_hosts]], universe, size)
+    ruled = {v: _table(spark, [f"r{h}{p}" for h, p in given], "key") for v, given in rules.items()}
+    given = block_hosts if isinstance(block_hosts, DataFrame) else _table(spark, block_hosts, "host")
+    hosts_listed = given.select(F.concat(F.lit("h"), F.translate(F.col("host").cast("string"), UPPER, LOWER)).alias("key"))
+    allowed, blocked = cascades(ruled["allow"], universe, size), cascades(ruled["block"].union(hosts_listed), universe, size)
 
     fits = F.flatten(F.transform("hosts", lambda h: F.transform(F.filter("heads", lambda p: allowed.has(F.concat(F.lit("r"), h, p)) | blocked.has(F.concat(F.lit("r"), h, p))), lambda p: F.struct((F.length(h) + F.length(p)).alias("n"), F.length(h).alias("m"), F.concat(h, p).alias("rule")))))
     judged = cut.withColumn("best", F.array_max(fits))

@@ -47,12 +47,26 @@ def test_cascades_are_exact_over_the_universe(spark, levels, monkeypatch):
     monkeypatch.setattr(url_filter, "MAX_LEVELS", levels)
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = [f"k{i}" for i in range(0, 20_000, 61)] + ["outside"]
-    made = cascade(spark, listed, universe, 20_000)
+    made = cascade(spark.createDataFrame([(k,) for k in listed], "key string"), len(listed), universe, 20_000)
     got = {r["key"] for r in universe.filter(made.has(F.col("key"))).collect()}
     assert got == set(listed) - {"outside"}
     assert len(made.levels) > 1 and bool(made.rest) == (levels == 2)
 
 
+def test_a_table_of_hosts_in_several_cascades(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LISTED", 300)
+    pages = spark.range(4000).select("id", F.concat(F.lit("http://h"), F.col("id") % 2000, F.when(F.col("id") % 3 == 0, ".Sub").otherwise(""), F.lit(".org/x")).alias("url"))
+    hosts = spark.range(0, 2000, 2).select(F.concat(F.lit("H"), "id", F.lit(".org")).alias("host")).union(spark.createDataFrame([("h0.org",), (None,)], "host string"))
+    got = filter_urls(pages, allow=[], block=[], block_hosts=hosts, id_col="id").filter("verdict = 'block'")
+    assert {r["page_id"] for r in got.collect()} == {i for i in range(4000) if i % 3 and i % 2000 % 2 == 0}
+
+
+def test_very_long_urls(spark):
+    urls = ["http://" + "a." * 3000 + "bad.org/" + "x" * 200_000, "http://" + "é" * 100_000 + ".com/en/", "x" * 300_000]
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(spark.createDataFrame([*enumerate(urls)], "page_id long, url string"), allow=ALLOW, block=BLOCK, block_hosts=HOSTS).collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow"}
+
+
 def test_main_path_is_native(spark):
     frame = spark.createDataFrame([(1, "http://a.net/es/")], "page_id long, url string")
     plan = filter_urls(frame, allow=ALLOW, block=BLOCK)._jdf.queryExecution().executedPlan().toString()
