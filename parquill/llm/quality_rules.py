@@ -24,7 +24,7 @@ from parquill.runtime import checkpoint
 #: Character classes.
 CLASSES = ("lower", "upper", "digit", "stop", "bracket", "symbol", "other")
 #: Common words of a language, and languages with references of their own; rarer ones share one.
-COMMON_WORDS, LANGUAGES = 50, 200
+COMMON_WORDS, LANGUAGES = 50, 1_000
 #: Distances (0 to 1) from which a long text fails, and the words from which distances count.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, GUARD_WORDS = 0.19, 0.35, 50
 #: Squared class distance that one number, address or key may make up in a text, times its words.
@@ -113,7 +113,7 @@ def repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
+def references(texts: DataFrame, languages: int = LANGUAGES) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
     """By language: class histogram, common words' places, and their histogram with the rest last.
 
     ``texts`` has ``lang`` and ``text``. '' is the reference of all languages together. Common words are
@@ -122,8 +122,8 @@ def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int],
     Tasks first name words with their counts in a part, but for those of one in ``NAMED_SHARE`` or less of
     a language's words there. So a word's named counts miss one in ``NAMED_SHARE`` of the language's words
     at most, whatever the parts are: words that may be common by this bound are candidates, a thousand or
-    so of a language at most, and all documents are counted for them. Languages beyond the ``LANGUAGES``
-    largest have no reference of their own, but count in that of all.
+    so of a language at most, and all documents are counted for them. Languages beyond the ``languages``
+    largest have no reference of their own, but count in that of all, so what tasks hold stays bounded.
     """
     named = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
@@ -155,7 +155,7 @@ def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int],
 
     found = checkpoint(texts.mapInArrow(name, named).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals, words = found.filter("word is null").select("lang", F.col("n").alias("total")), found.filter("word is not null")
-    largest = totals.filter("lang is not null").orderBy(F.desc("total"), "lang").limit(LANGUAGES)
+    largest = totals.filter("lang is not null").orderBy(F.desc("total"), "lang").limit(languages)
     all_words = {r["lang"]: r["total"] for r in largest.collect()}
     every = totals.agg(F.sum("total")).first()[0] or 0
     if not every:
@@ -174,18 +174,22 @@ def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int],
     counted = T.StructType([T.StructField("lang", T.StringType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = Cache(lambda w: union.get(core(w), width))
-        held: dict[str | None, np.ndarray] = {}
+        place = Cache(lambda w: union.get(core(w), -1))
+        held: dict[str | None, Counter] = {}
+        classes: dict[str | None, np.ndarray] = {}
+        wanted_all = {union[w] for w in asked_all}
         for batch in batches:
+            seen: dict[str | None, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
                 words = text.split()
                 if words:
                     lang = lang if lang in all_words else None
-                    if lang not in held:
-                        held[lang] = np.zeros(width + 1 + len(CLASSES), np.int64)
-                    held[lang][: width + 1] += np.bincount(np.fromiter(map(place.__getitem__, words), np.int64, len(words)), minlength=width + 1)
-                    held[lang][width + 1 :] += class_histogram(text)
-        rows = [(lang, int(i), int(n[i])) for lang, n in held.items() for i in [*{union[w] for w in (*asked.get(lang, ()), *asked_all)}, *range(width, len(n))]]
+                    seen.setdefault(lang, []).append(np.fromiter(map(place.__getitem__, words), np.int64, len(words)))
+                    classes[lang] = classes.get(lang, 0) + class_histogram(text)
+            for lang, places in seen.items():
+                own = wanted_all | {union[w] for w in asked.get(lang, ())}
+                held.setdefault(lang, Counter()).update({i: n for i, n in zip(*map(np.ndarray.tolist, np.unique(np.concatenate(places), return_counts=True)), strict=True) if i in own})
+        rows = [(lang, i, n) for lang, c in held.items() for i, n in c.items()] + [(lang, width + i, int(n)) for lang, c in classes.items() for i, n in enumerate(c)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=counted.names)
 
     sums: dict[str | None, Counter] = {}
@@ -195,7 +199,7 @@ def references(texts: DataFrame) -> dict[str, tuple[np.ndarray, dict[str, int],
     def reference(n: Counter, words: list[str], total: int) -> tuple[np.ndarray, dict[str, int], np.ndarray]:
         best = sorted((-n[union[w]], w) for w in words if n[union[w]] * COMMON_SHARE > total)[:COMMON_WORDS]
         common = [-k for k, _ in best]
-        return np.array([n[width + 1 + i] for i in range(len(CLASSES))], float), {w: i for i, (_, w) in enumerate(best)}, np.array([*common, total - sum(common)], float)
+        return np.array([n[width + i] for i in range(len(CLASSES))], float), {w: i for i, (_, w) in enumerate(best)}, np.array([*common, total - sum(common)], float)
 
     out = {lang: reference(sums[lang], asked[lang], total) for lang, total in all_words.items()}
     out[""] = reference(sum(sums.values(), Counter()), asked_all, every)
@@ -209,18 +213,19 @@ def _may_lead(named: list[tuple[int, str]], total: int) -> list[str]:
     return [w for n, w in named if n * NAMED_SHARE + total >= least * NAMED_SHARE]
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, languages: int = LANGUAGES) -> DataFrame:
     """Judges every whole text: base counts, base verdict, both distances, and ``kept``.
 
     ``base_failed``: fewer than ``LEAST_WORDS`` words or over half of them in repeated windows. ``kept``
-    is false if so, or if the text has ``GUARD_WORDS`` words and a distance exceeds ``limits`` for its length. Texts of a language without reference, or of null language, are compared with the
-    reference of all languages.
+    is false if so, or if the text has ``GUARD_WORDS`` words and a distance exceeds ``limits`` for its length.
+    Texts of a language beyond the ``languages`` largest are compared with the reference of all languages;
+    those of null language are a language of their own.
 
     Null and empty texts have no words, so they fail the base rules. Rows that repeat count and are
     judged each; null ids stay. An empty table gives an empty result.
     """
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("?")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    known = references(texts)
+    known = references(texts, languages)
     longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     out = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in longs], T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("class_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType())])
 

@@ -65,14 +65,13 @@ def test_references_count_all_documents(spark):
         assert histogram.sum() == sum(len(w) for t in own for w in t.split())
 
 
-def test_rare_languages_take_no_word_from_large_ones(spark, monkeypatch):
+def test_rare_languages_take_no_word_from_large_ones(spark):
     draw = random.Random(4)
     common = [f"common{i}" for i in range(70)]
     big = [" ".join(draw.choice(common) if draw.random() < 0.4 else f"w{draw.randrange(10**6)}" for _ in range(500)) for _ in range(60)]
     rare = [(f"r{i % 12}", " ".join(f"rare{i}x{k}" for k in range(250)) + " allthe" * 250) for i in range(120)]
     rows = [("en", t) for t in big] + rare
-    monkeypatch.setattr(quality_rules_module, "LANGUAGES", 5)
-    known = references(spark.createDataFrame(rows, "lang string, text string").repartition(16))
+    known = references(spark.createDataFrame(rows, "lang string, text string").repartition(16), 5)
     assert len(known) == 6
     for lang in known:
         words = Counter(w for x, t in rows if not lang or x == lang for w in t.split())
@@ -82,6 +81,51 @@ def test_rare_languages_take_no_word_from_large_ones(spark, monkeypatch):
     assert known[""][0].sum() == sum(len(w) for _, t in rows for w in t.split())
 
 
+@pytest.mark.parametrize("languages", [190, 300])
+def test_partitions_change_nothing(spark, languages):
+    draw = random.Random(languages)
+    common = [f"common{i}" for i in range(20)]
+    rows = [("en", " ".join(draw.choice(common) if draw.random() < 0.5 else f"w{draw.randrange(10**5)}" for _ in range(60))) for _ in range(600)]
+    rows += [(f"l{i % languages}", " ".join(f"x{draw.randrange(10**5)}" for _ in range(30))) for i in range(1900)]
+    frame = spark.createDataFrame([(i, t, x, 1, "x") for i, (x, t) in enumerate(rows)], KIND)
+    found = [references(frame.select("lang", "text").repartition(n)) for n in (1, 200)]
+    assert {*common} <= {*found[0]["en"][1]} and len(found[0]) == languages + 2
+    for lang, (classes, places, counts) in found[0].items():
+        other = found[1][lang]
+        assert places == other[1] and (classes == other[0]).all() and (counts == other[2]).all()
+
+
+def test_distances_and_kept_equal_brute_force(spark):
+    clean, junk = corpus()
+    rows = [(i, t, "en" if i % 2 else "fr", 1, "x") for i, t in enumerate([*clean, *junk])]
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, KIND).repartition(3)).collect()}
+
+    def distance(p, q):
+        a, b = sum(p.values()), sum(q.values())
+        js = 0.0
+        for k in {*p, *q}:
+            x, y = p.get(k, 0) / a, q.get(k, 0) / b
+            for z in (x, y):
+                js += z / 2 * np.log2(2 * z / (x + y)) if z else 0.0
+        return max(0.0, js) ** 0.5
+
+    for lang in ("en", "fr"):
+        own = [(i, t) for i, t, x, *_ in rows if x == lang]
+        classes, words = Counter(), Counter()
+        for _, t in own:
+            classes.update(quality_rules_module.class_of(c) for c in t if not c.isspace())
+            words.update(core(w.encode()) for w in t.split())
+        common = {w for w, n in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS] if n * 1000 > words.total()}
+        of = lambda c: Counter({w: n for w, n in c.items() if w in common}) + Counter({"": sum(n for w, n in c.items() if w not in common)})  # noqa: B023, E731
+        for i, t in own:
+            a = distance(Counter(quality_rules_module.class_of(c) for c in t if not c.isspace()), classes)
+            b = distance(of(Counter(core(w.encode()) for w in t.split())), of(words))
+            r, n = got[i], len(t.split())
+            most = limits(n, quality_rules_module.MAX_CLASS_DISTANCE, quality_rules_module.MAX_WORD_DISTANCE)
+            assert r["class_distance"] == pytest.approx(a, abs=1e-6) and r["word_distance"] == pytest.approx(b, abs=1e-6)
+            assert r["kept"] == (not r["base_failed"] and not (n >= 50 and (a > most[0] or b > most[1])))
+
+
 def test_edges(spark):
     rows = [(1, None, "en", 1, "x"), (2, "", None, 1, "x"), (None, "a " * 60, None, 1, "x"), (3, "w" * 100_000, "en", 1, "x"), (3, "w" * 100_000, "en", 1, "x"), (4, " ".join(f"word{i}" for i in range(60)), "", 1, "x")]
     got = quality_rules(spark.createDataFrame(rows, KIND)).collect()
