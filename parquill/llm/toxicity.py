@@ -24,10 +24,10 @@ INSULTS = ("idiot", "moron", "loser", "stupid", "scum", "trash", "worthless", "p
 SECOND_PERSON = ("you", "your", "yours", "u", "ur", "tu", "toi", "te", "ton", "ta", "tes", "vous", "votre", "vos", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tú", "ti", "usted", "ustedes", "vosotros")
 #: Digits and signs that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
-#: Labelled rows that a fit uses at most, and words or beginnings that the lexicon learns at most.
-SAMPLE_ROWS, LEARNED = 12_000, 2_000
-#: Parts frequent in texts labelled 1 that are looked up in the others, at most.
-CANDIDATES = 50_000
+#: Labelled rows that a fit uses at most, which bounds what the lexicon learns.
+SAMPLE_ROWS = 12_000
+#: Every so many of them calibrate, and teach neither lexicon nor trees.
+CALIBRATES = 5
 #: Words around a lexicon word in which second person counts as near.
 NEAR = 6
 MIN_PREFIX, MAX_PREFIX = 4, 6
@@ -101,8 +101,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
     return docs.join(F.broadcast(few), docs[id_col].cast("long") == few["_label_id"])  # at most `most` rows of two numbers
 
 
-def learn_lexicon(sample: DataFrame, text_col: str, least: int = 5, odds: float = 2.5, most: int = LEARNED) -> dict[str, float]:
-    """Words and beginnings whose document odds are higher in label 1 by ``odds`` in logarithm."""
+def learn_lexicon(sample: DataFrame, text_col: str, least: int = 5, odds: float = 2.5) -> dict[str, float]:
+    """Words and beginnings in ``least`` documents labelled 1 whose document odds are higher there by ``odds`` in logarithm."""
     kind = T.StructType([T.StructField("part", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def counter(wanted: set[str] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -125,12 +125,11 @@ def learn_lexicon(sample: DataFrame, text_col: str, least: int = 5, odds: float
     bad, good = totals.get(1, 0), totals.get(0, 0)
     # First the parts of texts labelled 1 that are frequent there, then how often texts labelled 0 have them.
     frequent = texts.filter("label = 1").mapInArrow(counter(None), kind).groupBy("part").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    wanted = {r["part"]: r["n"] for r in frequent.orderBy(F.desc("n"), "part").limit(CANDIDATES).collect()}
+    wanted = {r["part"]: r["n"] for r in frequent.collect()}  # of a sample, and in `least` of its texts
     clean = texts.filter("label = 0").mapInArrow(counter(set(wanted)), kind).groupBy("part").agg(F.sum("n").alias("n"))
-    other = {r["part"]: r["n"] for r in clean.collect()}  # CANDIDATES at most
+    other = {r["part"]: r["n"] for r in clean.collect()}  # of those wanted
     odds_of = {p: float(np.log((n + 0.5) / (bad + 1)) - np.log((other.get(p, 0) + 0.5) / (good + 1))) for p, n in wanted.items()}
-    ranked = sorted((-w * wanted[p] ** 0.5, p) for p, w in odds_of.items() if w >= odds)
-    return {p: odds_of[p] for _, p in ranked[:most]}
+    return {p: w for p, w in sorted(odds_of.items()) if w >= odds}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -138,7 +137,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
     Labels are learned from only where crc32 of the id as text is not divisible by 5, from at most
     ``sample_rows`` of them, taken by a hash of the id; ``held_out`` marks the other ids. A fifth of
-    the sample calibrates. Only the text is an input of a score.
+    the sample, by another hash, calibrates, and neither lexicon nor trees learn from it. Only the text is
+    an input of a score.
 
     Null or empty texts are scored like any text, with all features 0. Null labels and labels other than
     0 and 1 are not learned from; without labels every score is the same. Rows with a null id have null
@@ -146,22 +146,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     where = f"crc32(cast(cast(`{id_col}` as string) as binary)) % 5 <> 0"
     sample = labelled_sample(docs.select(id_col, text_col), labels, label_col, sample_rows, where, id_col).select(F.col("_label_id").alias("id"), text_col, "label").persist()
+    calibrates = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(CALIBRATES)) == 0
     try:
-        learned = learn_lexicon(sample, text_col)
-        made = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
+        learned = learn_lexicon(sample.filter(~calibrates), text_col)
+        made = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("fold", T.BooleanType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features = Featurizer(learned)
             for batch in batches:
                 rows = [features(t) for t in raw(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["id", "label", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(rows, pa.list_(pa.float64()))], names=["id", "label", "fold", "features"])
 
-        rows = sorted(sample.mapInArrow(describe, made).collect())  # sample_rows rows of 18 numbers at most
+        rows = sorted(sample.withColumn("fold", calibrates).mapInArrow(describe, made).collect())  # sample_rows rows of 18 numbers at most
     finally:
         sample.unpersist()
     x = np.array([r["features"] for r in rows]).reshape(len(rows), len(Featurizer.NAMES))
     y = np.array([r["label"] for r in rows], float)
-    fold = np.arange(len(rows)) % 5 == 0
+    fold = np.array([r["fold"] for r in rows], bool)
     model = BoostedTrees().fit(x[~fold], y[~fold])
     calibrated = Isotonic().fit(model.margin(x[fold]), y[fold])
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
