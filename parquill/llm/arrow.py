@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +13,11 @@ import pyarrow as pa
 BLANK = b" \t\n\x0b\x0c\r"
 
 
-def raw(column: pa.Array) -> list[bytes]:
-    """Texts as UTF-8 bytes; null is empty."""
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+def raw(column: pa.Array, most: int = 256) -> Iterator[bytes]:
+    """Texts as UTF-8 bytes, null as empty; few of them are held at a time."""
+    for k in range(0, len(column), most):
+        for x in column.slice(k, most).cast(pa.binary()).to_pylist():
+            yield b"" if x is None else x
 
 
 def as_text(values: Iterable[bytes | None]) -> pa.Array:

@@ -9,7 +9,7 @@ was trained on, and a logistic regression over their calibrated log-odds gives t
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -122,9 +122,9 @@ class CoTraining:
         return 1 / (1 + np.exp(-(odds @ self.weights[:2] + self.weights[2]))), 1 / (1 + np.exp(-odds))
 
 
-def _views(texts: list[bytes], sources: list, langs: list) -> tuple[np.ndarray, np.ndarray]:
-    a = np.array([content(t) for t in texts]).reshape(len(texts), CONTENT)
-    return a, np.array([metadata(*t) for t in zip(texts, sources, langs, strict=True)]).reshape(len(texts), META)
+def _views(texts: Iterable[bytes], sources: list, langs: list) -> tuple[np.ndarray, np.ndarray]:
+    both = [(content(text), metadata(text, source, lang)) for text, source, lang in zip(texts, sources, langs, strict=True)]
+    return tuple(np.array([b[i] for b in both]).reshape(len(both), n) for i, n in enumerate((CONTENT, META)))
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality", labelled: int = LABELLED, unlabelled: int = UNLABELLED, threshold: float = 0.5) -> DataFrame:

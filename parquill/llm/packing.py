@@ -150,7 +150,7 @@ def encoder(path: str) -> Cache:
             ids = tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    words = Cache(encode, 300_000)
+    words = Cache(encode, 150_000)
     return words
 
 
