@@ -38,23 +38,26 @@ MAX_SOURCES = 10_000
 
 def period(shares: Mapping[str, int], left: Mapping[str, int] | None = None) -> list[str]:
     """One period: the source of each slot, by earliest deadline first. It ends early with the slot in which a source gets the last of its ``left`` blocks."""
-    total = sum(shares.values())
     if any(v < 1 for v in shares.values()):
         raise ValueError("shares must be at least 1")
-    names = sorted(shares)
-    ranked = sorted(names, key=lambda s: (-shares[s], s))
+    ranked = sorted(shares, key=lambda s: (-shares[s], s))
     share = [shares[s] for s in ranked]
-    last = [left[s] if left else shares[s] + 1 for s in ranked]
-    done = [0] * len(ranked)
-    waiting = [(0, i) for i in range(len(ranked))]  # (release, source)
-    ready: list[tuple[int, int]] = []  # (deadline, source)
+    return [ranked[i] for i in _slots(share, [left[s] if left else n + 1 for s, n in zip(ranked, share, strict=True)])]
+
+
+def _slots(share: list[int], last: list[int]) -> list[int]:
+    """The slots of ``period`` as places in the lists; shares fall, so first deadlines rise and are a heap as they are."""
+    total = sum(share)
+    done = [0] * len(share)
+    waiting: list[tuple[int, int]] = []  # (release, source)
+    ready = [(-(-total // n), i) for i, n in enumerate(share)]  # (deadline, source)
     slots = []
     for t in range(total):
         while waiting and waiting[0][0] <= t:
             _, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-((done[i] + 1) * -total // share[i]), i))
         _, i = heapq.heappop(ready)
-        slots.append(ranked[i])
+        slots.append(i)
         done[i] += 1
         if done[i] == last[i]:
             break
@@ -68,27 +71,26 @@ def phases(blocks: Mapping[str, int], shares: Mapping[str, int]) -> list[dict]:
 
     A phase ends with the slot in which a source gets its last block.
     """
-    left = {s: n for s, n in blocks.items() if n}
-    given = dict.fromkeys(left, 0)
+    names = sorted((s for s, n in blocks.items() if n), key=lambda s: (-shares[s], s))
+    share, left, given = [shares[s] for s in names], [blocks[s] for s in names], [0] * len(names)
     out, start = [], 0
-    while left:
-        slots = period({s: shares[s] for s in left}, left)
+    while names:
+        slots = _slots(share, left)
         size = len(slots)
-        at: dict[str, array] = {}
-        for i, s in enumerate(slots):
-            at.setdefault(s, array("q")).append(i)
-        own = {s: len(x) for s, x in at.items()}
-        last = {s: (left[s] - 1) // own[s] * size + at[s][(left[s] - 1) % own[s]] for s in at}
-        length = min(last.values()) + 1
+        at: dict[int, array] = {}
+        for k, i in enumerate(slots):
+            at.setdefault(i, array("q")).append(k)
+        # The first source to run out, at its last block's slot, ends the phase.
+        length = min((left[i] - 1) // len(x) * size + x[(left[i] - 1) % len(x)] for i, x in at.items()) + 1
         whole, rest = divmod(length, size)
-        took = {s: whole * own[s] + bisect_left(at[s], rest) for s in at}
-        out.append({"start": start, "length": length, "size": size, "at": at, "before": {s: given[s] for s in at}, "took": took})
+        took = {i: whole * len(x) + bisect_left(x, rest) for i, x in at.items()}
+        out.append({"start": start, "length": length, "size": size, "at": {names[i]: x for i, x in at.items()}, "before": {names[i]: given[i] for i in at}, "took": {names[i]: n for i, n in took.items()}})
         start += length
-        for s, n in took.items():
-            given[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
+        for i, n in took.items():
+            given[i] += n
+            left[i] -= n
+        if over := {i for i in took if not left[i]}:
+            names, share, left, given = ([x for i, x in enumerate(of) if i not in over] for of in (names, share, left, given))
     return out
 
 
