@@ -63,9 +63,14 @@ def key(payload_text: Column) -> Column:
     return collapse(payload_text)
 
 
+@F.pandas_udf(T.StringType())
+def _canonical(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFC", x).split()).casefold())
+
+
 def canonical(text: Column) -> Column:
-    """What leaks are found by: normal form C, spaces collapsed, case folded."""
-    return casefold(collapse(nfc(text)))
+    """What leaks are found by: normal form C, spaces collapsed, case folded. One Arrow call does all of it for rows beyond ASCII."""
+    return F.coalesce(_canonical(_beyond_ascii(text)), F.lower(collapse(text)))
 
 
 def dense(text: Column) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from parquill.functions.text import UNIT, canonical
 
-#: Rows of a side up to which it is broadcast, after it was counted.
-BROADCAST_ROWS = 100_000
+#: Rows of two numbers, and bytes of texts, up to which a counted side is broadcast; items that are searched in all documents.
+BROADCAST_ROWS, BROADCAST_BYTES, SHORT_ROWS = 100_000, 16_000_000, 10_000
 
 
 def overlaps(test: DataFrame, other: DataFrame, *, pair: bool = False) -> DataFrame:
@@ -65,23 +65,25 @@ def containments(docs: DataFrame, benchmark: DataFrame, *, ident: str = "doc_id"
     """
     items = benchmark.select(F.col(item).alias("item_id"), canonical(F.col(item_text)).alias("item_text")).filter("item_text <> ''")
     words = F.split("item_text", " ")
-    # The first and last word may be parts of words; those between them are whole.
-    long_items = items.filter(F.size(words) >= anchor_words + 2).withColumn("anchor", F.array_join(F.slice(words, 2, anchor_words), " "))
-    short = items.filter(F.size(words) < anchor_words + 2).limit(BROADCAST_ROWS + 1).collect()
-    if len(short) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} items of under {anchor_words + 2} words")
-    few = benchmark.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    canon = docs.select(F.col(ident).alias("doc_id"), canonical(F.col(text)).alias("doc_text"))
-    # Only ids travel with the windows; texts come back for the few documents that hold an anchor.
-    cut = canon.select("doc_id", F.split("doc_text", " ").alias("w")).filter(F.size("w") >= anchor_words)
-    windows = cut.select("doc_id", F.explode(F.expr(f"array_distinct(transform(sequence(1, size(w) - {anchor_words - 1}), i -> array_join(slice(w, i, {anchor_words}), ' ')))")).alias("anchor"))
-    side = F.broadcast(long_items) if few else long_items
-    met = windows.join(side, "anchor").select("item_id", "item_text", F.col("doc_id").alias("_met")).distinct()
-    hits = canon.join(met, F.col("doc_id") == F.col("_met")).filter(F.contains("doc_text", "item_text")).select("item_id", "doc_id").distinct()
+    # The first and last word may be parts of words; those between them are whole. Anchors meet by a hash: a chance hit is searched in vain.
+    long_items = items.filter(F.size(words) >= anchor_words + 2)
+    anchors = long_items.select("item_id", F.xxhash64(F.slice(words, 2, anchor_words)).alias("anchor"))
+    short = items.filter(F.size(words) < anchor_words + 2).limit(SHORT_ROWS + 1).collect()
+    if len(short) > SHORT_ROWS:
+        raise ValueError(f"more than {SHORT_ROWS} items of under {anchor_words + 2} words")
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)).alias("bytes")).first()
+    small = lambda side, fits: F.broadcast(side) if fits else side
+    texts = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
+    # Only ids travel with the windows; texts come back, and are made canonical again, for the few documents that hold an anchor.
+    cut = texts.select("doc_id", F.split(canonical(F.col("text")), " ").alias("w")).filter(F.size("w") >= anchor_words)
+    windows = cut.select("doc_id", F.explode(F.expr(f"array_distinct(transform(sequence(1, size(w) - {anchor_words - 1}), i -> xxhash64(slice(w, i, {anchor_words}))))")).alias("anchor"))
+    met = windows.join(small(anchors, size["n"] <= BROADCAST_ROWS), "anchor").select("item_id", F.col("doc_id").alias("_met")).distinct()
+    held = texts.join(met, F.col("doc_id") == F.col("_met")).select("doc_id", "item_id", canonical(F.col("text")).alias("doc_text"))
+    hits = held.join(small(long_items, size["bytes"] <= BROADCAST_BYTES), "item_id").filter(F.contains("doc_text", "item_text")).select("item_id", "doc_id").distinct()
     if not short:
         return hits
     listed = F.from_json(F.lit(json.dumps([r.asDict() for r in short])), f"array<{items.schema.simpleString()}>")
-    rest = canon.select("doc_id", F.explode(F.filter(listed, lambda i: F.contains(F.col("doc_text"), i["item_text"]))).alias("i"))
+    rest = texts.select("doc_id", canonical(F.col("text")).alias("doc_text")).select("doc_id", F.explode(F.filter(listed, lambda i: F.contains(F.col("doc_text"), i["item_text"]))).alias("i"))
     return hits.union(rest.select("i.item_id", "doc_id"))
 
 
