@@ -10,6 +10,7 @@ matched value goes on over several words of its signs, as wrapped secrets do.
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 import re
@@ -19,7 +20,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -408,7 +409,10 @@ _MAY = r"(?i:pass(?:word|wd)|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-
 def fit_field(docs: DataFrame, id_col: str, text_col: str, rows: int) -> Field:
     """Trains on at most ``rows`` texts: half of them, or all that there are, with a match, the others without, each taken by a hash of the id."""
     text = F.col(text_col).cast("string")
-    marked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.rlike(text, F.lit(_MAY)), F.lit(False)).alias("has")).filter("id is not null")
+    # All but hexadecimal matches have one of these, so the long pattern is tried on few texts.
+    likely = functools.reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in ("=", ":", "AKIA", "PRIVATE KEY")])
+    has = F.when(likely, F.rlike(text, F.lit(_MAY))).otherwise(F.rlike(text, F.lit("[0-9a-f]{32}")))
+    marked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(has, F.lit(False)).alias("has")).filter("id is not null")
     ids = checkpoint(marked.groupBy("id").agg(F.max("has").alias("has")))
     by_hash = lambda some, n: some.orderBy(F.xxhash64("id"), "id").limit(n).select(F.col("id").alias("_field_id"))
     few = by_hash(ids.filter("has"), rows // 2).union(by_hash(ids.filter("not has"), rows - rows // 2))
