@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parquill.llm.arrow import tidy
 from parquill.runtime import checkpoint
 
 #: Vectors of one shard, about: a tree of a few MB.
@@ -270,8 +271,8 @@ def nearest(vectors: DataFrame, *, query: str, k: int = 20, factor: float = 1.0,
                 found = [(node, side, *span) for (node, side), span in cells.places(cells.lift(points(part)))[1].items()]
                 yield pa.RecordBatch.from_pylist([dict(zip(("node", "side", "low", "high"), f, strict=True)) for f in found], schema=pa.schema([("node", pa.int32()), ("side", pa.int32()), ("low", pa.float64()), ("high", pa.float64())]))
 
-    placed = checkpoint(good.mapInArrow(place, kind))
-    for r in placed.select("vector").mapInArrow(extent, "node int, side int, low double, high double").groupBy("node", "side").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():  # two rows a cell at most
+    placed = checkpoint(good.mapInArrow(tidy(place), kind))
+    for r in placed.select("vector").mapInArrow(tidy(extent), "node int, side int, low double, high double").groupBy("node", "side").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():  # two rows a cell at most
         cells.low[r["node"], r["side"]], cells.high[r["node"], r["side"]] = r["low"], r["high"]
     blocks = np.ones(cells.cells, np.int64)
     for r in placed.groupBy("cell").count().collect():  # a row a cell
@@ -288,7 +289,7 @@ def nearest(vectors: DataFrame, *, query: str, k: int = 20, factor: float = 1.0,
                 cell = cells.places(np.hstack([q, np.zeros((len(q), 1))]))[0]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell, pa.int32())], names=["id", "vector", "cell"])
 
-    at_home = checkpoint(asked.select("id", "vector").mapInArrow(home, "id long, vector array<double>, cell int"))
+    at_home = checkpoint(asked.select("id", "vector").mapInArrow(tidy(home), "id long, vector array<double>, cell int"))
     first = checkpoint(_searched(candidates, _to_blocks(at_home.withColumn("floor", F.lit(None).cast("double")), of_cell), width, k, factor))
     found = first
     if cells.cells > 1:
@@ -307,7 +308,7 @@ def nearest(vectors: DataFrame, *, query: str, k: int = 20, factor: float = 1.0,
                     some = pa.array(who[own[who] != cell])
                     yield pa.RecordBatch.from_arrays([part.column(0).take(some), part.column(1).take(some), pa.array(np.full(len(some), cell), pa.int32()), part.column(3).take(some)], names=["id", "vector", "cell", "floor"])
 
-        more = bounded.mapInArrow(visits, "id long, vector array<double>, cell int, floor double")
+        more = bounded.mapInArrow(tidy(visits), "id long, vector array<double>, cell int, floor double")
         found = first.union(_searched(candidates, _to_blocks(more, of_cell), width, k, factor))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -352,4 +353,4 @@ def _searched(candidates: DataFrame, queries: DataFrame, width: int, k: int, fac
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[q], keep.sum(1))), pa.array(found[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
 
     both = candidates.unionByName(queries).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
-    return both.mapInArrow(search, out)
+    return both.mapInArrow(tidy(search), out)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import raw
+from parquill.llm.arrow import raw, tidy
 from parquill.llm.gbt import BoostedTrees, Isotonic, logistic
 from parquill.llm.toxicity import labelled_sample
 
@@ -145,7 +145,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
             p, each = score_of.score(_views(raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(each[:, 0].copy()), pa.array(each[:, 1].copy())], names=out.names)
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("string") for c in (text_col, source_col, lang_col)]).mapInArrow(score, out)
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("string") for c in (text_col, source_col, lang_col)]).mapInArrow(tidy(score), out)
     return scored.withColumn("kept", F.col("score") >= threshold)
 
 
@@ -161,7 +161,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             a, b = _views(raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(a.tolist(), pa.list_(pa.float64())), pa.array(b.tolist(), pa.list_(pa.float64()))], names=kind.names)
 
-    rows = sorted(with_labels.union(fresh).mapInArrow(describe, kind).collect())  # labelled + unlabelled rows of 52 numbers at most
+    rows = sorted(with_labels.union(fresh).mapInArrow(tidy(describe), kind).collect())  # labelled + unlabelled rows of 52 numbers at most
     known, free = [r for r in rows if r["label"] >= 0], [r for r in rows if r["label"] < 0]
     views = lambda some: tuple(np.array([r[v] for r in some]).reshape(len(some), w) for v, w in (("a", CONTENT), ("b", META)))
     return CoTraining().fit(views(known), np.array([r["label"] for r in known], float), views(free))
@@ -179,4 +179,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **c
             p, _ = model.score(_views(raw(text), source.cast(pa.string()).to_pylist(), lang.cast(pa.string()).to_pylist()))
             yield batch.filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

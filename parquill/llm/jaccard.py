@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import mix, raw
+from parquill.llm.arrow import mix, raw, tidy
 from parquill.llm.components import components
 from parquill.runtime import checkpoint
 
@@ -295,7 +295,7 @@ def _digests(texts: DataFrame, width: int) -> DataFrame:
             halves = np.frombuffer(b"".join(d for _, d in made), np.int64).reshape(len(made), 2)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), *[pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)]], names=fields)
 
-    return texts.mapInArrow(sign, T.StructType([T.StructField(c, T.LongType()) for c in fields]))
+    return texts.mapInArrow(tidy(sign), T.StructType([T.StructField(c, T.LongType()) for c in fields]))
 
 
 def _common_keys(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -346,9 +346,9 @@ def _common_keys(texts: DataFrame, width: int, percent: int) -> DataFrame:
             some = lead != ids
             yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(lead[some]), pa.array(ids[some])], names=["key", "a", "b"])
 
-    rows = texts.filter("id is not null").mapInArrow(spread, EDGES)
+    rows = texts.filter("id is not null").mapInArrow(tidy(spread), EDGES)
     dealt = rows.repartition(F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("key", "b")))
-    return dealt.sortWithinPartitions("key", "a").mapInArrow(heads, EDGES)
+    return dealt.sortWithinPartitions("key", "a").mapInArrow(tidy(heads), EDGES)
 
 
 def _standing(edges: DataFrame, stand: DataFrame) -> DataFrame:
@@ -380,7 +380,7 @@ def _with_heads(texts: DataFrame, pairs: DataFrame, width: int, percent: int) ->
             yield _pairs(walk(tree, tree, percent, Union()))
 
     keyed = _fetched(texts, cells).select("a", "block", "node", "text")
-    return checkpoint(keyed.repartition("a", "block").sortWithinPartitions("a", "block").mapInArrow(within, PAIRS))
+    return checkpoint(keyed.repartition("a", "block").sortWithinPartitions("a", "block").mapInArrow(tidy(within), PAIRS))
 
 
 def _apart(edges: DataFrame, joined: DataFrame) -> DataFrame:
@@ -418,7 +418,7 @@ def _by_trees(texts: DataFrame, edges: DataFrame, keys: DataFrame, joined: DataF
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(maps, pa.list_(pa.struct([("n", pa.int64()), ("map", pa.binary())])))], names=["node", "maps"])
 
     wanted = checkpoint(nodes.select("node").distinct())
-    sketches = _fetched(texts, wanted).mapInArrow(draw, drawn).select("node", F.explode("maps").alias("m")).select(F.col("node").alias("_n"), "m.n", "m.map")
+    sketches = _fetched(texts, wanted).mapInArrow(tidy(draw), drawn).select("node", F.explode("maps").alias("m")).select(F.col("node").alias("_n"), "m.n", "m.map")
     marked = T.StructType([T.StructField("key", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("component", T.LongType())])
 
     def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,9 +438,9 @@ def _by_trees(texts: DataFrame, edges: DataFrame, keys: DataFrame, joined: DataF
             yield _pairs(walk(*trees, percent, Union({r[0]: r[1] for r in [*rows, *probes]})))
 
     mapped = cells.join(sketches, F.col("node") == F.col("_n")).select(*marked.names, "n", "map")
-    marks = checkpoint(mapped.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(mark, marked).distinct())
+    marks = checkpoint(mapped.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(tidy(mark), marked).distinct())
     held = _fetched(texts, marks).select(*marked.names, "text")
-    return checkpoint(held.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(exact, PAIRS))
+    return checkpoint(held.repartition("key", "block").sortWithinPartitions("key", "block", "kind").mapInArrow(tidy(exact), PAIRS))
 
 
 def _pairs(links: Iterator[tuple[int, int]]) -> pa.RecordBatch:

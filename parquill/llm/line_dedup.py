@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import BLANK, as_text, code_points, raw
+from parquill.llm.arrow import as_text, BLANK, code_points, raw, tidy
 from parquill.llm.perfect_hash import PerfectHash, dump, load
 from parquill.runtime import checkpoint
 
@@ -68,7 +68,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(ids)], names=["h1", "h2", "id"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    pairs = checkpoint(texts.filter("id is not null").mapInArrow(gather, hashes))
+    pairs = checkpoint(texts.filter("id is not null").mapInArrow(tidy(gather), hashes))
     counted = pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("top"))
     found = _probe(pairs, counted, min_docs).groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
 
@@ -95,7 +95,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             counts = pa.StructArray.from_arrays([pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=["n_lines", "n_dropped"])
             yield pa.RecordBatch.from_arrays([part.column(0), as_text(kept), counts], names=["row", "text", "stats"])
 
-    done = joined.mapInArrow(rewrite, out)
+    done = joined.mapInArrow(tidy(rewrite), out)
     columns = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != stats_col]
     return done.select(*columns, *[F.col("stats").alias(c) for c in [stats_col] if c])
 
@@ -132,7 +132,7 @@ def _probe(pairs: DataFrame, counted: DataFrame, min_docs: int) -> DataFrame:
             yield done(k)
 
     rows = counted.select(shard.alias("shard"), "h1", "h2", "n", "top")
-    index = checkpoint(rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, index_type))
+    index = checkpoint(rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(build), index_type))
 
     copied = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "arrays", *[F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "id")])
     probes = pairs.select(shard.alias("shard"), F.expr(f"cast(pmod(xxhash64(id), {copies}) as int)").alias("copy"), F.lit(None).cast("binary").alias("arrays"), "h1", "h2", "id")
@@ -160,4 +160,4 @@ def _probe(pairs: DataFrame, counted: DataFrame, min_docs: int) -> DataFrame:
                 hit[hit] = arrays["tops"][rank[slot[hit]]] != ids[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (high, low, ids)], names=["h1", "h2", "id"])
 
-    return cells.mapInArrow(look, pairs.schema)
+    return cells.mapInArrow(tidy(look), pairs.schema)

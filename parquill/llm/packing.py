@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import Cache, raw, shared
+from parquill.llm.arrow import Cache, raw, shared, tidy
 
 #: Id after each document.
 END = 2
@@ -245,5 +245,5 @@ def pack_documents(
 
     prompt = F.col(prompt_col).cast("string") if prompt_col else F.lit(None).cast("string")
     place = F.lit(None).cast("long") if order is None else order.cast("long")
-    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), prompt.alias("prompt"), place.alias("order")).mapInArrow(run, schema)
+    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), prompt.alias("prompt"), place.alias("order")).mapInArrow(tidy(run), schema)
     return pieces.drop("order") if order is None else pieces

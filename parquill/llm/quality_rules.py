@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import BLANK, Cache, raw
+from parquill.llm.arrow import BLANK, Cache, raw, tidy
 from parquill.runtime import checkpoint
 
 #: Character classes.
@@ -153,7 +153,7 @@ def references(texts: DataFrame, languages: int = LANGUAGES) -> dict[str, tuple[
                 size = 0
         yield out()
 
-    found = checkpoint(texts.mapInArrow(name, named).groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    found = checkpoint(texts.mapInArrow(tidy(name), named).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     totals, words = found.filter("word is null").select("lang", F.col("n").alias("total")), found.filter("word is not null")
     largest = totals.filter("lang is not null").orderBy(F.desc("total"), "lang").limit(languages)
     all_words = {r["lang"]: r["total"] for r in largest.collect()}
@@ -193,7 +193,7 @@ def references(texts: DataFrame, languages: int = LANGUAGES) -> dict[str, tuple[
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=counted.names)
 
     sums: dict[str | None, Counter] = {}
-    for r in texts.mapInArrow(count, counted).groupBy("lang", "at").agg(F.sum("n").alias("n")).collect():  # candidates of each language and of all
+    for r in texts.mapInArrow(tidy(count), counted).groupBy("lang", "at").agg(F.sum("n").alias("n")).collect():  # candidates of each language and of all
         sums.setdefault(r["lang"], Counter())[r["at"]] = r["n"]
 
     def reference(n: Counter, words: list[str], total: int) -> tuple[np.ndarray, dict[str, int], np.ndarray]:
@@ -253,4 +253,4 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             columns = [batch.column(0), *[pa.array([r[i] for r in rows], f.dataType.simpleString().replace("bigint", "int64").replace("boolean", "bool").replace("double", "float64")) for i, f in enumerate(out.fields[1:])]]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("?")).alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(judge, out)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("?")).alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(judge), out)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import Cache, mix, raw
+from parquill.llm.arrow import Cache, mix, raw, tidy
 from parquill.runtime import checkpoint
 
 #: The base patterns, with the group whose length counts and its least.
@@ -424,7 +424,7 @@ def fit_field(docs: DataFrame, id_col: str, text_col: str, rows: int) -> Field:
             yield pa.RecordBatch.from_pydict({"id": pa.array([d for d, _ in out], pa.int64()), "features": pa.array([w[0].ravel() for _, w in out], pa.list_(pa.int32())), "tags": pa.array([w[1] for _, w in out], pa.list_(pa.int32()))})
 
     used = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    got = used.join(F.broadcast(few), used["id"] == few["_field_id"]).select("id", "text").mapInArrow(cut, kind).toArrow()  # rows texts' windows, 6 each at most
+    got = used.join(F.broadcast(few), used["id"] == few["_field_id"]).select("id", "text").mapInArrow(tidy(cut), kind).toArrow()  # rows texts' windows, 6 each at most
     order = np.argsort(got["id"].to_numpy(), kind="stable")
     all_features, all_tags = got["features"].combine_chunks(), got["tags"].combine_chunks()
     x, y = np.full((len(order), WINDOW, MOST_FEATURES), -1, np.int32), np.full((len(order), WINDOW), -1, np.int64)
@@ -456,4 +456,4 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             named = [[[{"start": a, "kind": k, "end": b} for a, k, b in x[i]] for x in found] for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, arrow) for x in named]], names=out.names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(scan, out)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(tidy(scan), out)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parquill.llm.arrow import Cache, raw
+from parquill.llm.arrow import Cache, raw, tidy
 from parquill.llm.gbt import BoostedTrees, Isotonic
 
 #: Insults that count without being learned, and words that address the reader.
@@ -157,7 +157,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
                 rows = [features(t) for t in raw(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(rows, pa.list_(pa.float64()))], names=["id", "label", "fold", "features"])
 
-        rows = sorted(sample.withColumn("fold", calibrates).mapInArrow(describe, made).collect())  # sample_rows rows of 18 numbers at most
+        rows = sorted(sample.withColumn("fold", calibrates).mapInArrow(tidy(describe), made).collect())  # sample_rows rows of 18 numbers at most
     finally:
         sample.unpersist()
     x = np.array([r["features"] for r in rows]).reshape(len(rows), len(Featurizer.NAMES))
@@ -173,6 +173,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
             found = np.array([features(t) for t in raw(batch.column(1))]).reshape(len(batch), len(Featurizer.NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(calibrated(model.margin(found)))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(score, out)
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(tidy(score), out)
     held = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
