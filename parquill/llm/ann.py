@@ -246,19 +246,20 @@ def nearest(vectors: DataFrame, *, query: str, k: int = 20, factor: float = 1.0,
     """
     x = F.col(vector_col)
     usable = x.isNotNull() & F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False))
-    good = vectors.filter(F.col(id_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("id"), x.cast("array<double>").alias("vector"), F.expr(query).alias("asks"))
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v)
+    of_kind = "array<float>" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType()) else "array<double>"  # single precision travels as it is
+    good = vectors.filter(F.col(id_col).isNotNull() & usable).select(F.col(id_col).cast("long").alias("id"), x.cast(of_kind).alias("vector"), F.expr(query).alias("asks"))
+    norm = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, v: s + v * v)
     sizes = good.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("count"), F.max(norm).alias("longest")).orderBy(F.desc("count"), "size").limit(1).collect()
     width, n, longest = (sizes[0]["size"], sizes[0]["count"], sizes[0]["longest"]) if sizes else (0, 0, 0.0)
     good = good.filter(F.size("vector") == width)
     few = good.orderBy(F.xxhash64("id"), "id").limit(max(2, min(SAMPLE_VECTORS, SAMPLE_FLOATS // max(1, width)))).select("vector").toArrow()["vector"]
-    sampled = few.combine_chunks().flatten().to_numpy().reshape(-1, width) if width else np.zeros((0, 0))
+    sampled = few.combine_chunks().flatten().to_numpy().astype(float).reshape(-1, width) if width else np.zeros((0, 0))
     cells = Cells(sampled, longest, min(MAX_CELLS, max(1, -(-n // shard_vectors))))
 
     def points(part: pa.RecordBatch) -> np.ndarray:
-        return part.column(part.schema.get_field_index("vector")).flatten().to_numpy().reshape(len(part), width)
+        return part.column(part.schema.get_field_index("vector")).flatten().to_numpy().astype(float).reshape(len(part), width)
 
-    kind = "id long, vector array<double>, asks boolean, cell int"
+    kind = f"id long, vector {of_kind}, asks boolean, cell int"
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -289,7 +290,7 @@ def nearest(vectors: DataFrame, *, query: str, k: int = 20, factor: float = 1.0,
                 cell = cells.places(np.hstack([q, np.zeros((len(q), 1))]))[0]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell, pa.int32())], names=["id", "vector", "cell"])
 
-    at_home = checkpoint(asked.select("id", "vector").mapInArrow(tidy(home), "id long, vector array<double>, cell int"))
+    at_home = checkpoint(asked.select("id", "vector").mapInArrow(tidy(home), f"id long, vector {of_kind}, cell int"))
     first = checkpoint(_searched(candidates, _to_blocks(at_home.withColumn("floor", F.lit(None).cast("double")), of_cell), width, k, factor))
     found = first
     if cells.cells > 1:
@@ -308,7 +309,7 @@ def nearest(vectors: DataFrame, *, query: str, k: int = 20, factor: float = 1.0,
                     some = pa.array(who[own[who] != cell])
                     yield pa.RecordBatch.from_arrays([part.column(0).take(some), part.column(1).take(some), pa.array(np.full(len(some), cell), pa.int32()), part.column(3).take(some)], names=["id", "vector", "cell", "floor"])
 
-        more = bounded.mapInArrow(tidy(visits), "id long, vector array<double>, cell int, floor double")
+        more = bounded.mapInArrow(tidy(visits), f"id long, vector {of_kind}, cell int, floor double")
         found = first.union(_searched(candidates, _to_blocks(more, of_cell), width, k, factor))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -331,7 +332,7 @@ def _searched(candidates: DataFrame, queries: DataFrame, width: int, k: int, fac
             shard = part.column(0).to_numpy().astype(np.int64) * (1 << 31) + part.column(1).to_numpy()
             asks = part.column(2).to_numpy(zero_copy_only=False)
             ids = part.column(3).to_numpy()
-            rows = part.column(4).flatten().to_numpy().reshape(len(part), width)
+            rows = part.column(4).flatten().to_numpy().astype(float).reshape(len(part), width)
             floor = part.column(5).to_numpy(zero_copy_only=False).astype(float)
             floor = np.where(np.isnan(floor), -np.inf, floor)
             change = np.flatnonzero((np.diff(shard) != 0) | (np.diff(asks.astype(int)) != 0)) + 1
