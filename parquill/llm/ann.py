@@ -294,8 +294,8 @@ def nearest(vectors: DataFrame, *, query: str, k: int = 20, factor: float = 1.0,
     first = checkpoint(_searched(candidates, _to_blocks(at_home.withColumn("floor", F.lit(None).cast("double")), of_cell), width, k, factor))
     found = first
     if cells.cells > 1:
-        kth = first.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))  # k a block of the home cell
-        bound = kth.select(F.col("query_id").alias("_id"), F.get("scores", F.lit(k - 1)).alias("floor"))
+        place_of = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+        bound = first.withColumn("_place", place_of).filter(F.col("_place") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("floor"))
         bounded = at_home.join(bound, F.col("id") == F.col("_id"), "left").select("id", "vector", "cell", "floor")
 
         def visits(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
