@@ -268,9 +268,10 @@ def link_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     rows = alive.select("id", "h1", "h2", F.expr("cast(pmod(xxhash64(id, 3), 16) as int)").alias("salt"))
     classed = rows.join(salted, ["h1", "h2", "salt"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    ids = checkpoint(classed.groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other"), F.collect_set("class_id").alias("all")).withColumn("all", F.when(F.col("class_id") < F.col("other"), F.col("all"))))
+    ids = checkpoint(classed.groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("other")))
     # An id with different texts is one node, tied to all their classes; other ids stand for their class.
-    tie = ids.filter("class_id <> other").select(F.col("id").alias("a"), F.explode("all").alias("b"))
+    several = ids.filter("class_id <> other").select(F.col("id").alias("_id"))
+    tie = classed.join(several, F.col("id") == F.col("_id"), "left_semi").select(F.col("id").alias("a"), F.col("class_id").alias("b")).distinct()
     stand = ids.filter("class_id = other and class_id <> id").select("id", F.col("class_id").alias("to"))
 
     edges = checkpoint(_standing(_common_keys(texts, width, percent), stand))
