@@ -164,7 +164,7 @@ def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     pairs = _pairs(spark, sf_dir).filter("source <> '' and target <> '' and not contains(source, '|||') and not contains(target, '|||') and not startswith(source, '#')")
     for k in range(3):
         lines = pairs.filter(F.col("conv_id") % 3 == k).orderBy("conv_id", "turn").select(F.concat(flat("source"), F.lit(" ||| "), flat("target")).alias("l"))
-        sinks.write_lines((r["l"] for r in lines.toLocalIterator()), folder / f"{k}.txt")
+        sinks.write_file(lines, folder / f"{k}.txt")
     config = prepare.PrepareConfig((str(folder),), str(folder / "out"), 0, 0.1, 0.2, 0.0, None, True)
     manifest = json.loads((Path(prepare.prepare_splits(spark, config).output_dir) / sinks.MANIFEST).read_text(encoding="utf-8"))
     outputs = spark.createDataFrame([(o["name"], o["rows"], o["sha256"]) for o in manifest["outputs"]], "name string, n_rows long, sha256 string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from dataclasses import dataclass
 
@@ -65,7 +64,8 @@ def prepare_splits(spark: SparkSession, config: PrepareConfig) -> PrepareResult:
     SplitPlan.of(10**9, config.valid_fraction, config.test_fraction)
     folder = sinks.resolve_output(config.output_dir)
     paths, skipped = readers.resolve_inputs(config.inputs)
-    read = checkpoint(readers.read_pairs(spark, paths, max_length_ratio=config.max_length_ratio, max_chars=config.max_chars))
+    read_lines = readers.read_lines(spark, paths)
+    read = checkpoint(readers.pairs_in(read_lines, max_length_ratio=config.max_length_ratio, max_chars=config.max_chars))
     sentinel = F.contains("source", F.lit(config.shape.mark))
     bad = read.withColumn("problem", F.coalesce("problem", F.when(sentinel, "sentinel"))).filter("problem is not null")
     problems = [f"{r['path']}:{r['line']}: {r['problem']}" for r in bad.orderBy("file", "line").limit(LISTED).collect()]
@@ -85,18 +85,14 @@ def prepare_splits(spark: SparkSession, config: PrepareConfig) -> PrepareResult:
     counts = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
     planned = [n for n, _ in SplitPlan.of(sum(counts.values()), config.valid_fraction, config.test_fraction).sizes]
     by_file = {r["file"]: r["count"] for r in good.groupBy("file").count().collect()}
-    whole = readers.files(spark, paths)
-    read_lines = {r["file"]: r["count"] for r in readers.lines(whole).groupBy("file").count().collect()}
-    digests = {r["file"]: r["d"] for r in whole.select("file", F.sha2(F.col("text").cast("binary"), 256).alias("d")).collect()}
+    lines_read = {r["file"]: r["count"] for r in read_lines.groupBy("file").count().collect()}
+    digests = [readers.digest(spark, p) for p in paths]
     folder.mkdir(parents=True, exist_ok=True)
     outputs = []
     for name in planned:
-        sha, path = hashlib.sha256(), folder / sinks.SPLIT_FILES[name]
-        with sinks.PartFile(path) as out:  # one file is the contract; rows come a partition at a time
-            for row in sinks.split_lines(split, name, config.shape).toLocalIterator():
-                out.write(line := row["value"] + "\n")
-                sha.update(line.encode())
-        outputs.append({"name": path.name, "rows": counts.get(name, 0), "sha256": sha.hexdigest()})
+        path = folder / sinks.SPLIT_FILES[name]
+        sha = sinks.write_file(sinks.split_lines(split, name, config.shape), path)  # one file is the contract
+        outputs.append({"name": path.name, "rows": counts.get(name, 0), "sha256": sha})
     status = {r["status"]: r["count"] for r in marked.groupBy("status").count().collect()}
     manifest = {
         "seed": config.seed,
@@ -106,7 +102,7 @@ def prepare_splits(spark: SparkSession, config: PrepareConfig) -> PrepareResult:
         "max_chars": config.max_chars,
         "allow_source_conflicts": config.allow_source_conflicts,
         "prompt_shape_fingerprint": config.shape.fingerprint(),
-        "inputs": [{"path": sinks.recorded(p), "sha256": digests[i], "lines_read": read_lines.get(i, 0), "pairs": by_file.get(i, 0)} for i, p in enumerate(paths)],
+        "inputs": [{"path": sinks.recorded(p), "sha256": digests[i], "lines_read": lines_read.get(i, 0), "pairs": by_file.get(i, 0)} for i, p in enumerate(paths)],
         "counts": {"pairs_read": sum(by_file.values()), "duplicates_dropped": status.get("duplicate", 0), "unique_sources": split.select("source_key").distinct().count(), **{n: counts.get(n, 0) for n in planned}},
         "outputs": outputs,
     }

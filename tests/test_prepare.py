@@ -133,3 +133,48 @@ def test_output_is_never_inside_protected_folders(tmp_path):
     with pytest.raises(OutputPathError):
         sinks.resolve_output(tmp_path / "data/raw/x", tmp_path)
     assert sinks.resolve_output(tmp_path / "data/splits", tmp_path)
+
+
+def test_no_row_of_a_split_goes_through_the_driver(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("rows came to the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refuse)
+    source = write(tmp_path / "in.txt", numbered(300))
+    result = prepare_splits(spark, PrepareConfig((source,), str(tmp_path / "out")))
+    written = {o["name"]: (tmp_path / "out" / o["name"]).read_bytes() for o in result.manifest["outputs"]}
+    assert {o["name"]: (o["rows"], o["sha256"]) for o in result.manifest["outputs"]} == {k: (v.count(b"\n"), hashlib.sha256(v).hexdigest()) for k, v in written.items()}
+    assert not list((tmp_path / "out").glob("*.part"))
+    train = [json.loads(x)["messages"][1]["content"] for x in written["train.jsonl"].decode().splitlines()]
+    assert train == sorted(train, key=lambda s: hashlib.sha256(f"0\x1f{s}".encode()).hexdigest()) and len(train) == 240
+
+
+def test_lines_are_read_in_blocks_and_numbered(spark, tmp_path):
+    import hashlib
+
+    texts = {"a.txt": "﻿да ||| 네\r\nнет ||| 아니요\rx\n\nlast", "b.txt": "".join(f"{'ж' * (i % 90)} ||| {i}\r\n" for i in range(3000)), "c.txt": "", "d.md": "one\r\ntwo\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "bad.txt").write_bytes(b"good ||| x\n\xff\xfe ||| y\n")
+    paths = [str(tmp_path / n) for n in [*texts, "bad.txt", "a.txt"]]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = readers.read_lines(spark, paths)
+        assert read.filter("file = 1").rdd.getNumPartitions() > 8  # one file is several tasks
+        got = {}
+        for r in read.filter("file <> 4").orderBy("file", "line").collect():
+            got.setdefault(r["file"], []).append((r["line"], r["raw"]))
+        whole = {r["file"]: r["text"] for r in readers.files(spark, paths).collect()}
+        for i in (0, 1, 3, 5):
+            assert got[i] == list(enumerate(whole[i].removesuffix("\n").split("\n"), 1))
+            assert readers.digest(spark, paths[i]) == hashlib.sha256(whole[i].encode()).hexdigest()
+        assert 2 not in got
+        bad = readers.read_pairs(spark, paths).filter("file = 4").collect()
+        assert [(r["line"], r["problem"]) for r in bad] == [(0, "encoding")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
