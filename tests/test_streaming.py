@@ -59,3 +59,22 @@ def test_streamed_breaker_equals_the_batch_operator(spark, tmp_path):
     got = {(r["doc_id"], r["index"]): r["aborted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = breaker(spark.createDataFrame(rows, kind), "doc_id", limit=2, empty=F.col("text") == "")
     assert got == {(r["doc_id"], r["index"]): r["aborted"] for r in batch.collect()}
+
+
+def test_documents_share_groups_and_those_that_ended_leave_no_state(spark, tmp_path):
+    from parquill.operators.mapping import breaker
+    from parquill.streaming.breaker import BUCKETS, stream_breaker
+
+    kind, n, base = "doc_id long, index int, text string, ok boolean, last boolean", 3 * BUCKETS, 2**53
+    both = spark.range(n).crossJoin(spark.range(6).withColumnRenamed("id", "i")).select(F.when(F.col("id") > 0, base + F.col("id")).alias("doc_id"), F.col("i").cast("int").alias("index"), F.when(F.col("i") % 5 == 3, F.lit("")).otherwise(F.lit("x")).alias("text"), (F.hash("id", "i") % 3 == 0).alias("ok"), ((F.col("i") == 5) & (F.col("id") % 2 == 1)).alias("last"))
+    held = []
+    for part in range(2):
+        both.filter(F.col("index") % 6 >= 3 if part else F.col("index") < 3).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stream_breaker(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), limit=2)
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        held.append(query.recentProgress[0]["stateOperators"][0]["numRowsTotal"])
+    assert 0 < max(held) <= BUCKETS + 1  # a row a group, not one a document
+    got = spark.read.parquet(str(tmp_path / "out"))
+    batch = breaker(both, "doc_id", limit=2, empty=F.col("text") == "").select("doc_id", "index", "ok", "aborted")
+    assert got.count() == 6 * n and got.exceptAll(batch).count() == 0 and got.filter("aborted").count() > n
