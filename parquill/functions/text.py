@@ -8,25 +8,20 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parquill.functions import batches
+
 #: The 29 characters of white space of Python's str methods, as a Java character class.
 SPACE = r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]"
 #: Unit separator, between the parts of a hashed key.
 UNIT = "\x1f"
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-
-@F.pandas_udf(T.StringType())
-def _fold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else x.casefold())
+_nfc = batches.of_one(lambda x: unicodedata.normalize("NFC", x), T.StringType())
+_fold = batches.of_one(lambda x: x.casefold(), T.StringType())
 
 
 def _beyond_ascii(text: Column) -> Column:
@@ -63,9 +58,7 @@ def key(payload_text: Column) -> Column:
     return collapse(payload_text)
 
 
-@F.pandas_udf(T.StringType())
-def _canonical(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFC", x).split()).casefold())
+_canonical = batches.of_one(lambda x: " ".join(unicodedata.normalize("NFC", x).split()).casefold(), T.StringType())
 
 
 def canonical(text: Column) -> Column:
