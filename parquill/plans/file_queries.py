@@ -186,12 +186,7 @@ _PROSE = ((", ", " ул. "), (" de ", " B. "), (" the ", " x. "), (" le ", " end
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into sentences: a chunk of the least budget that holds each, so no two are packed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", _as_prose(F.regexp_replace(F.trim("text"), r"\s+", " ")).alias("text"))
-
-    @F.pandas_udf("array<string>")
-    def cut(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: chunker.sentences(t or ""))
-
-    return docs.withColumn("s", cut("text")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\x01")).alias("md5"))
+    return docs.withColumn("s", chunker.sentence_lists(F.coalesce("text", F.lit("")))).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\x01")).alias("md5"))
 
 
 def _spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
